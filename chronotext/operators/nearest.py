@@ -17,11 +17,12 @@ from pyspark.sql import DataFrame, functions as F
 
 from chronotext.session import materialize
 
+# Bounds: pivots and rings are fewer for fewer documents, so that an area fills a block.
 PIVOTS = 64
 RINGS = 32
 BLOCK_ROWS = 1024
 CHUNK_ROWS = 256
-PAIRS_PER_COPY = 64
+CHUNKS_PER_COPY = 4
 SLACK = 1e-6
 
 
@@ -35,29 +36,25 @@ def divergences(p: np.ndarray, q: np.ndarray) -> np.ndarray:
 
 
 def _x_log_x(x: np.ndarray) -> np.ndarray:
-    return x * np.log(np.where(x > 0, x, 1.0))
+    return np.einsum("...k,...k->...", x, np.log(x))
 
 
 def all_divergences(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     """Divergence of every row of ``p`` with every row of ``q``, to about 1e-12."""
-    own_p, own_q = _x_log_x(p).sum(axis=1), _x_log_x(q).sum(axis=1)
-    result = np.empty((len(p), len(q)))
-    step = max(1, 2_000_000 // max(1, q.size))
+    # The offset keeps the logarithm finite and is lost in every other sum.
+    half_p, half_q = p / 2 + 1e-300, q / 2
+    own = (_x_log_x(p + 1e-300)[:, None] + _x_log_x(q + 1e-300)[None, :]) / 2
+    step = max(1, 400_000 // max(1, q.size))
     for start in range(0, len(p), step):
         rows = slice(start, start + step)
-        middle = (p[rows, None, :] + q[None, :, :]) / 2
-        result[rows] = (own_p[rows, None] + own_q[None, :]) / 2 - _x_log_x(middle).sum(axis=2)
-    return np.maximum(result, 0.0)
+        own[rows] -= _x_log_x(half_p[rows, None, :] + half_q[None, :, :])
+    return np.maximum(own, 0.0)
 
 
 def _matrix(thetas: pd.Series) -> np.ndarray:
     return np.array(thetas.to_list(), dtype=float)
 
 
-def _distance_to_pivots(thetas: pd.Series, pivots: np.ndarray) -> np.ndarray:
-    return np.sqrt(all_divergences(_matrix(thetas), pivots))
-
-
 def _best_in_block(query_ids, queries, train_ids, years, train) -> list[dict]:
     """Nearest training row of each query; near ties are settled by the plain formula, then id."""
     rough = all_divergences(queries, train)
@@ -78,15 +75,17 @@ def nearest_document(queries: DataFrame, training: DataFrame) -> DataFrame:
     goes to the lowest training id. Thetas without any weight are no distributions and are left
     out on both sides.
     """
-    with_weight = F.exists("theta", lambda cell: cell > 0)
-    # Copies of one theta become one row before anything is compared.
+    # Copies of one theta become one row before anything is compared. The filter comes after the
+    # write, where it cannot be pushed down and make the thetas be computed twice.
     train = materialize(
-        training.where(with_weight)
-        .groupBy("theta")
+        training.groupBy("theta")
         .agg(F.min(F.struct("id", "year")).alias("first"))
         .select("first.id", "first.year", "theta")
-    )
-    pivot_rows = train.orderBy(F.xxhash64("id"), "id").limit(PIVOTS).collect()
+    ).where(F.exists("theta", lambda cell: cell > 0))
+    total = train.count()
+    n_pivots = min(PIVOTS, -(-total // BLOCK_ROWS))
+    n_rings = min(RINGS, -(-total // (BLOCK_ROWS * PIVOTS)))
+    pivot_rows = train.orderBy(F.xxhash64("id"), "id").limit(n_pivots).collect()
     if not pivot_rows:
         return queries.limit(0).selectExpr(
             "id", "cast(null as double) js", "cast(null as bigint) train_id", "cast(null as int) year"
@@ -95,15 +94,15 @@ def nearest_document(queries: DataFrame, training: DataFrame) -> DataFrame:
 
     @F.pandas_udf("cell int, ring int, distance double")
     def place(thetas: pd.Series) -> pd.DataFrame:
-        distance = _distance_to_pivots(thetas, pivots)
+        distance = np.sqrt(all_divergences(_matrix(thetas), pivots))
         cell = distance.argmin(axis=1)
         nearest = distance[np.arange(len(cell)), cell]
-        return pd.DataFrame({"cell": cell, "ring": (nearest * RINGS).astype(int), "distance": nearest})
+        return pd.DataFrame({"cell": cell, "ring": (nearest * n_rings).astype(int), "distance": nearest})
 
     placed = materialize(
         train.withColumn("at", place("theta")).select(
             "id", "year", "theta", "at.distance", "at.cell",
-            (F.col("at.cell") * RINGS + F.col("at.ring")).alias("area"),
+            (F.col("at.cell") * n_rings + F.col("at.ring")).alias("area"),
         )
     )
     # At most PIVOTS * RINGS rows, whatever the input.
@@ -117,21 +116,40 @@ def nearest_document(queries: DataFrame, training: DataFrame) -> DataFrame:
 
     @F.pandas_udf("cell int, areas array<int>")
     def reach(thetas: pd.Series) -> pd.DataFrame:
-        distance = _distance_to_pivots(thetas, pivots)
+        matrix = np.nan_to_num(_matrix(thetas))
+        distance = np.sqrt(all_divergences(matrix, pivots))
         home = distance.min(axis=1, keepdims=True)
         to_cell = distance[:, cell]
         bound = np.maximum.reduce([to_cell - high, low - to_cell, (to_cell - home) / 2])
-        needed = bound <= home + SLACK
+        needed = (bound <= home + SLACK) & (matrix.sum(axis=1, keepdims=True) > 0)
         return pd.DataFrame(
             {"cell": distance.argmin(axis=1), "areas": [area[row].tolist() for row in needed]}
         )
 
     asked = materialize(
-        queries.where(with_weight)
-        .select("id", "theta", reach("theta").alias("at"))
-        .select("id", "theta", "at.cell", "at.areas")
+        queries.select("id", "theta", reach("theta").alias("at")).select(
+            "id", "theta", "at.cell", "at.areas"
+        )
     )
+    # Two bounded tables: chunks per cell, and blocks and copies per area. An area wanted by many
+    # chunks is copied, so that no task gets all of them.
     homes = asked.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / CHUNK_ROWS).alias("chunks"))
+    wanted = (
+        asked.select("cell", F.explode("areas").alias("area"))
+        .groupBy("cell", "area")
+        .agg(F.count(F.lit(1)).alias("most"))
+        .join(F.broadcast(homes), "cell")
+        .groupBy("area")
+        .agg(F.ceil(F.sum(F.least("most", "chunks")) / CHUNKS_PER_COPY).alias("copies"))
+        .toPandas()
+    )
+    layout = areas.groupby("area", as_index=False)["n"].sum().merge(wanted, on="area")
+    layout["blocks"] = -(-layout["n"] // BLOCK_ROWS)
+    layout = F.broadcast(
+        queries.sparkSession.createDataFrame(
+            layout[["area", "blocks", "copies"]], "area int, blocks bigint, copies bigint"
+        )
+    )
     chunks = (
         asked.join(F.broadcast(homes), "cell")
         .groupBy("cell", F.pmod(F.xxhash64("id"), F.col("chunks")).alias("chunk"))
@@ -146,14 +164,6 @@ def nearest_document(queries: DataFrame, training: DataFrame) -> DataFrame:
             "areas",
         )
     )
-    # An area wanted by many chunks is copied, so that no task gets all its chunks.
-    wanted = (
-        chunks.select(F.explode("areas").alias("area"))
-        .groupBy("area")
-        .agg(F.ceil(F.count(F.lit(1)) / PAIRS_PER_COPY).alias("copies"))
-    )
-    cuts = placed.groupBy("area").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).alias("blocks"))
-    layout = F.broadcast(cuts.join(F.broadcast(wanted), "area"))
     blocks = (
         placed.join(layout, "area")
         .groupBy("area", "copies", F.pmod(F.xxhash64("id"), F.col("blocks")).alias("block"))
@@ -192,8 +202,12 @@ def nearest_document(queries: DataFrame, training: DataFrame) -> DataFrame:
             )
 
     best = F.min(F.struct("js", "train_id", "year")).alias("best")
+    # Little data but much work per row: a fixed number of partitions, which is not coalesced.
+    tasks = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    place_of = ["area", "block", "copy"]
     return (
-        visits.join(blocks, ["area", "block", "copy"])
+        visits.repartition(tasks, *place_of)
+        .join(blocks.repartition(tasks, *place_of), place_of)
         .select(F.inline(compare("query_ids", "query_cells", "train_ids", "years", "train_cells")))
         .groupBy("id")
         .agg(best)

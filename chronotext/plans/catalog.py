@@ -86,14 +86,15 @@ def vector_thetas(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def letter_thetas(df: DataFrame, id_column: str, text: str) -> DataFrame:
-    """(id, year, theta): shares of the letters a ... z in each text; NULLs where it has none."""
-    low = df.select(F.col(id_column).alias("id"), F.lower(text).alias("t"))
-    counts = F.array(
-        *[(F.length("t") - F.length(F.replace("t", F.lit(c)))).cast("double") for c in LETTERS]
+def initial_thetas(df: DataFrame, id_column: str, text: str) -> DataFrame:
+    """(id, year, theta): shares of the first letters a ... z among the words of each text."""
+    words_ = df.select(F.col(id_column).alias("id"), F.explode(tx.letter_tokens(text)).alias("token"))
+    initials = words_.select("id", F.left("token", F.lit(1)).alias("initial"))
+    counts = initials.groupBy("id").agg(
+        *[F.count_if(F.col("initial") == c).alias(c) for c in LETTERS], F.count(F.lit(1)).alias("total")
     )
     year = (F.lit(1700) + F.col("id") % 212).cast("int")
-    return low.select("id", year.alias("year"), normalize(counts).alias("theta"))
+    return counts.select("id", year.alias("year"), F.array(*[F.col(c) / F.col("total") for c in LETTERS]).alias("theta"))
 
 
 def topic_cells(spark: SparkSession, folder: str) -> DataFrame:
@@ -249,8 +250,8 @@ def js_pairs(spark, folder):
 
 
 def js_nearest_year(spark, folder):
-    training = letter_thetas(documents(spark, folder), "doc_id", "text")
-    unseen = letter_thetas(spread(pages(spark, folder), "page_id"), "page_id", "content")
+    training = initial_thetas(documents(spark, folder), "doc_id", "text")
+    unseen = initial_thetas(spread(pages(spark, folder), "page_id"), "page_id", "content")
     found = nearest.nearest_document(unseen.select("id", "theta"), training)
     return found.select("id", F.round("js", 6).alias("js"), "train_id", "year")
 
@@ -296,7 +297,7 @@ def doc_topic_scores(spark, folder):
 
 
 def year_pair_arcs(spark, folder):
-    shapes = arcs(parse_year_pairs(year_pair_lines(spark, folder)))
+    shapes = arcs(parse_year_pairs(materialize(year_pair_lines(spark, folder))))
     return shapes.select(
         "year1",
         "year2",

@@ -81,13 +81,12 @@ thetas AS (
          list_transform(a, lambda x: x / list_sum(a)) AS theta FROM sizes)"""
 
 
-def _letters(name: str, source: str, id_column: str, text: str) -> str:
-    cells = ", ".join(f"length(t) - length(replace(t, '{c}', ''))" for c in LETTERS)
-    return f"""{name}_counts AS (
-  SELECT id, [{cells}] AS c FROM (SELECT {id_column} AS id, lower({text}) AS t FROM {source})),
-{name} AS (
-  SELECT id, CAST(1700 + id % 212 AS INT) AS year, list_transform(c, lambda x: x::DOUBLE / list_sum(c)) AS theta
-  FROM {name}_counts WHERE list_sum(c) > 0)"""
+def _initials(name: str, source: str, id_column: str, text: str) -> str:
+    cells = ", ".join(f"count(*) FILTER (WHERE initial = '{c}') / count(*)" for c in LETTERS)
+    tokens = LETTER_TOKENS.replace("text", text)
+    return f"""{name} AS (
+  SELECT id, CAST(1700 + id % 212 AS INT) AS year, [{cells}] AS theta FROM (
+    SELECT {id_column} AS id, left(unnest({tokens}), 1) AS initial FROM {source}) GROUP BY id)"""
 
 
 CELLS = f"""term_counts AS (
@@ -194,8 +193,8 @@ ORACLE: dict[str, str] = {
     + f" SELECT a.id, round({_js('a.theta', 'b.theta')}, 6) AS js FROM thetas a JOIN thetas b ON b.id = a.id + 1",
     "js_nearest_year": _with(
         PAGES,
-        _letters("unseen", "web", "page_id", "content"),
-        _letters("training", "documents", "doc_id", "text"),
+        _initials("unseen", "web", "page_id", "content"),
+        _initials("training", "documents", "doc_id", "text"),
     )
     + f""", scored AS (
             SELECT q.id, t.id AS train_id, t.year, {_js('q.theta', 't.theta')} AS js FROM unseen q CROSS JOIN training t)
