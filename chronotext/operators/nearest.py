@@ -130,7 +130,7 @@ def nearest_document(queries: DataFrame, training: DataFrame) -> DataFrame:
         queries.select("id", "theta", reach("theta").alias("at")).select(
             "id", "theta", "at.cell", "at.areas"
         )
-    )
+    ).where(F.size("areas") > 0)
     # Two bounded tables: chunks per cell, and blocks and copies per area. An area wanted by many
     # chunks is copied, so that no task gets all of them.
     homes = asked.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / CHUNK_ROWS).alias("chunks"))

@@ -18,8 +18,9 @@ def parse_articles(lines: DataFrame, *keep: str) -> DataFrame:
 
 def year_documents(docs: DataFrame, low: int = 1700, high: int = 1911) -> DataFrame:
     """Documents with a year in [low, high] as a number; ``xxxx`` and other words go."""
-    number = F.col("year").try_cast("int")
-    dated = docs.where((F.col("year") != "xxxx") & number.between(low, high))
+    written = F.col("year").cast("string")
+    number = written.try_cast("int")
+    dated = docs.where((written != "xxxx") & number.between(low, high))
     return dated.withColumn("year", number)
 
 
