@@ -19,10 +19,10 @@ COMMON_WORDS = "and in for to was by a of is as from on it at which with that s
 TOPIC_STOPWORDS = sorted({*NUMERALS, *ROMAN_NUMERALS, *LETTERS, *COMMON_WORDS})
 
 # A year mention is a whole run of letters, digits and underscores that is four ASCII digits.
-YEAR = r"(?<![\p{L}\p{Nd}_])[0-9]{4}(?![\p{L}\p{Nd}_])"
+YEAR = r"(?=[0-9])(?<![\p{L}\p{Nd}_])[0-9]{4}(?![\p{L}\p{Nd}_])"
 # The same with the value limited to 501 ... 2199.
 DATABLE_YEAR = (
-    r"(?<![\p{L}\p{Nd}_])"
+    r"(?=[0-2])(?<![\p{L}\p{Nd}_])"
     r"(?:050[1-9]|05[1-9][0-9]|0[6-9][0-9]{2}|1[0-9]{3}|2[01][0-9]{2})"
     r"(?![\p{L}\p{Nd}_])"
 )
@@ -70,6 +70,12 @@ def field(line: Column | str, position: int) -> Column:
     return F.get(fields(line), F.lit(position))
 
 
+def first_field(line: Column | str) -> Column:
+    """Field 0, without splitting the rest of a long line; NULL for a line of tabs only."""
+    line = _text(line)
+    return F.when((line == "") | line.rlike(r"[^\t]"), F.substring_index(line, "\t", 1))
+
+
 def leading_year(text: Column | str) -> Column:
     """The first four characters as a number, NULL if they are none."""
     return F.substring(_text(text), 1, 4).try_cast("int")
@@ -117,6 +123,15 @@ def first_year(text: Column | str) -> Column:
     return F.when(found != "", found)
 
 
+def explode_first_year(text: Column | str) -> Column:
+    """``first_year`` as a generator, which drops texts without one and runs the pattern once.
+
+    A filter on the year would be pushed below it, and the pattern run again there.
+    """
+    found = F.regexp_extract(_text(text), DATABLE_YEAR, 0)
+    return F.explode(F.array_remove(F.array(found), ""))
+
+
 # --- rendering ------------------------------------------------------------------------------
 
 

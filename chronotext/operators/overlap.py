@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from chronotext.functions.text import field, flatten_whitespace, slug
+from chronotext.functions.text import first_field, flatten_whitespace, slug
 from chronotext.operators.joins import semi_join
 
 
@@ -21,8 +21,8 @@ def match_titles(pages: DataFrame, titles: DataFrame, page_id: str = "page_id",
 
 def match_lines(lines: DataFrame, selection: DataFrame, line_id: str, **options) -> DataFrame:
     """Lines whose first field is the first field of a selected line, unchanged."""
-    keyed = lines.withColumn("_key", field("value", 0))
-    chosen = selection.select(field("value", 0).alias("_key"))
+    keyed = lines.withColumn("_key", first_field("value"))
+    chosen = selection.select(first_field("value").alias("_key"))
     return semi_join(keyed, chosen, "_key", line_id, **options).drop("_key")
 
 

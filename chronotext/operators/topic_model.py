@@ -7,9 +7,9 @@ from pyspark.ml.feature import CountVectorizerModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
-from chronotext.functions.text import topic_tokens
+from chronotext.functions.text import TOPIC_STOPWORDS, is_number, topic_tokens, word_tokens
 from chronotext.operators.nearest import nearest_document
-from chronotext.operators.words import count_tokens, frequency_rank
+from chronotext.operators.words import count_tokens, frequency_rank, not_stopword
 from chronotext.session import materialize, spread
 
 # Topics of the model and the sum of its document prior.
@@ -25,9 +25,10 @@ def with_topic_tokens(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.withColumn("tokens", topic_tokens(text)).drop(text)
 
 
-def topic_vocabulary(tokenised: DataFrame, size: int = VOCABULARY_SIZE) -> DataFrame:
+def topic_vocabulary(docs: DataFrame, size: int = VOCABULARY_SIZE) -> DataFrame:
     """(idx, token, n): the most frequent topic tokens in rank order."""
-    return frequency_rank(count_tokens(tokenised, F.col("tokens"))).where(F.col("idx") < size)
+    keep = not_stopword(TOPIC_STOPWORDS) & ~is_number("token")
+    return frequency_rank(count_tokens(docs, word_tokens("text"), keep)).where(F.col("idx") < size)
 
 
 def vectorizer(vocab: DataFrame) -> CountVectorizerModel:
@@ -99,9 +100,8 @@ def train(
     The count vectors are written once, in a fixed order, because every iteration reads them and
     the online optimiser samples by position.
     """
-    tokenised = with_topic_tokens(docs)
-    vectors = vectorizer(topic_vocabulary(tokenised, vocabulary_size))
-    counted = vectors.transform(tokenised).select(doc_id, "features")
+    vectors = vectorizer(topic_vocabulary(docs, vocabulary_size))
+    counted = vectors.transform(with_topic_tokens(docs)).select(doc_id, "features")
     fixed = materialize(spread(counted, doc_id).sortWithinPartitions(doc_id))
     lda = LDA(
         k=k, maxIter=iterations, seed=seed, optimizer="online", docConcentration=[alpha_sum / k] * k

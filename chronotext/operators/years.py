@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from chronotext.functions.text import YEAR, fields, first_year
+from chronotext.functions.text import YEAR, explode_first_year, fields
 
 PART_CHARS = 64 * 1024 * 1024
 
@@ -31,8 +31,8 @@ def concat_by_year(docs: DataFrame, doc_id: str = "doc_id", part_chars: int = PA
     larger one is cut into parts by a hash of the id, in id order each, so no task ever holds a
     whole hot year. The table of part counts has at most one row per year 501 ... 2199.
     """
-    dated = docs.select(doc_id, "text", first_year("text").alias("year")).where("year IS NOT NULL")
-    parts = dated.groupBy("year").agg(
+    dated = docs.select(doc_id, "text", explode_first_year("text").alias("year"))
+    parts = dated.where(F.col("year").isNotNull()).groupBy("year").agg(
         F.ceil(F.sum(F.length("text") + 1) / part_chars).alias("parts")
     )
     part = F.pmod(F.xxhash64(doc_id), F.col("parts")).cast("int")
@@ -80,10 +80,11 @@ def year_windows(docs: DataFrame, keys: list[str], text: str = "text", margin: i
         return F.struct(mention["year"].alias("year"), F.array_join(words, " ").alias("text"))
 
     return (
-        docs.where(F.col(text).rlike(YEAR))
+        docs.where(F.col(text).rlike("[0-9]{4}"))
         .select(*keys, tokens.alias("tokens"))
         .withColumn("mentions", F.flatten(F.transform("tokens", mentions)))
-        .select(*keys, F.transform("mentions", window).alias("windows"))
-        .select(*keys, F.posexplode("windows").alias("position", "window"))
+        # The expression itself is exploded: on a column, Spark would infer a filter for its size
+        # and compute the windows once more for it.
+        .select(*keys, F.posexplode(F.transform("mentions", window)).alias("position", "window"))
         .select(*keys, "position", "window.year", "window.text")
     )

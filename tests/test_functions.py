@@ -31,6 +31,9 @@ def test_fields_follow_the_trailing_rule(spark):
 
 
 def test_field_is_null_when_absent(spark):
+    firsts = [("\t\t",), ("a\tb",), ("",), ("\ta",), ("a",)]
+    assert value(spark, tx.first_field("x"), firsts) == [None, "a", "", "", "a"]
+    assert value(spark, tx.field("x", 0), firsts) == [None, "a", "", "", "a"]
     assert value(spark, tx.field("x", 0), [("\t\t",), ("a\tb",)]) == [None, "a"]
     assert value(spark, tx.field("x", 1), [("a",), ("a\tb",)]) == [None, "b"]
 
