@@ -75,13 +75,14 @@ def nearest_document(queries: DataFrame, training: DataFrame) -> DataFrame:
     goes to the lowest training id. Thetas without any weight are no distributions and are left
     out on both sides.
     """
+    has_weight = F.exists("theta", lambda cell: cell > 0)
     # Copies of one theta become one row before anything is compared. The filter comes after the
     # write, where it cannot be pushed down and make the thetas be computed twice.
     train = materialize(
         training.groupBy("theta")
         .agg(F.min(F.struct("id", "year")).alias("first"))
         .select("first.id", "first.year", "theta")
-    ).where(F.exists("theta", lambda cell: cell > 0))
+    ).where(has_weight)
     total = train.count()
     n_pivots = min(PIVOTS, -(-total // BLOCK_ROWS))
     n_rings = min(RINGS, -(-total // (BLOCK_ROWS * PIVOTS)))
@@ -91,10 +92,11 @@ def nearest_document(queries: DataFrame, training: DataFrame) -> DataFrame:
             "id", "cast(null as double) js", "cast(null as bigint) train_id", "cast(null as int) year"
         )
     pivots = np.array([row.theta for row in pivot_rows], dtype=float)
+    width = pivots.shape[1]
 
     @F.pandas_udf("cell int, ring int, distance double")
     def place(thetas: pd.Series) -> pd.DataFrame:
-        distance = np.sqrt(all_divergences(_matrix(thetas), pivots))
+        distance = np.sqrt(all_divergences(np.nan_to_num(_matrix(thetas)), pivots))
         cell = distance.argmin(axis=1)
         nearest = distance[np.arange(len(cell)), cell]
         return pd.DataFrame({"cell": cell, "ring": (nearest * n_rings).astype(int), "distance": nearest})
@@ -105,7 +107,7 @@ def nearest_document(queries: DataFrame, training: DataFrame) -> DataFrame:
             (F.col("at.cell") * n_rings + F.col("at.ring")).alias("area"),
         )
     )
-    # At most PIVOTS * RINGS rows, whatever the input.
+    # At most PIVOTS * (RINGS + 1) rows, whatever the input.
     areas = (
         placed.groupBy("area", "cell")
         .agg(F.count(F.lit(1)).alias("n"), F.min("distance").alias("low"), F.max("distance").alias("high"))
@@ -114,33 +116,38 @@ def nearest_document(queries: DataFrame, training: DataFrame) -> DataFrame:
     area, cell = areas["area"].to_numpy(), areas["cell"].to_numpy()
     low, high = areas["low"].to_numpy(), areas["high"].to_numpy()
 
-    @F.pandas_udf("cell int, areas array<int>")
-    def reach(thetas: pd.Series) -> pd.DataFrame:
-        matrix = np.nan_to_num(_matrix(thetas))
-        distance = np.sqrt(all_divergences(matrix, pivots))
-        home = distance.min(axis=1, keepdims=True)
-        to_cell = distance[:, cell]
-        bound = np.maximum.reduce([to_cell - high, low - to_cell, (to_cell - home) / 2])
-        needed = (bound <= home + SLACK) & (matrix.sum(axis=1, keepdims=True) > 0)
-        return pd.DataFrame(
-            {"cell": distance.argmin(axis=1), "areas": [area[row].tolist() for row in needed]}
-        )
+    @F.pandas_udf("array<int>")
+    def reach(chunks: pd.Series) -> pd.Series:
+        def needed(cells: np.ndarray) -> list[int]:
+            distance = np.sqrt(all_divergences(cells.reshape(-1, width), pivots))
+            home = distance.min(axis=1, keepdims=True)
+            to_cell = distance[:, cell]
+            bound = np.maximum.reduce([to_cell - high, low - to_cell, (to_cell - home) / 2])
+            return area[(bound <= home + SLACK).any(axis=0)].tolist()
+
+        return pd.Series([needed(cells) for cells in chunks])
 
     asked = materialize(
-        queries.select("id", "theta", reach("theta").alias("at")).select(
-            "id", "theta", "at.cell", "at.areas"
-        )
-    ).where(F.size("areas") > 0)
-    # Two bounded tables: chunks per cell, and blocks and copies per area. An area wanted by many
-    # chunks is copied, so that no task gets all of them.
+        queries.select("id", "theta", place("theta").alias("at")).select("id", "theta", "at.cell")
+    ).where(has_weight)
+    # One row per pivot.
     homes = asked.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / CHUNK_ROWS).alias("chunks"))
+    chunks = materialize(
+        asked.join(F.broadcast(homes), "cell")
+        .groupBy("cell", F.pmod(F.xxhash64("id"), F.col("chunks")).alias("chunk"))
+        .agg(F.collect_list(F.struct("id", "theta")).alias("q"))
+        .select(
+            F.struct("cell", "chunk").alias("chunk"),
+            F.col("q.id").alias("query_ids"),
+            F.flatten("q.theta").alias("query_cells"),
+        )
+        .withColumn("areas", reach("query_cells"))
+    )
+    # An area wanted by many chunks is copied, so that no task gets all of them.
     wanted = (
-        asked.select("cell", F.explode("areas").alias("area"))
-        .groupBy("cell", "area")
-        .agg(F.count(F.lit(1)).alias("most"))
-        .join(F.broadcast(homes), "cell")
+        chunks.select(F.explode("areas").alias("area"))
         .groupBy("area")
-        .agg(F.ceil(F.sum(F.least("most", "chunks")) / CHUNKS_PER_COPY).alias("copies"))
+        .agg(F.ceil(F.count(F.lit(1)) / CHUNKS_PER_COPY).alias("copies"))
         .toPandas()
     )
     layout = areas.groupby("area", as_index=False)["n"].sum().merge(wanted, on="area")
@@ -150,20 +157,6 @@ def nearest_document(queries: DataFrame, training: DataFrame) -> DataFrame:
             layout[["area", "blocks", "copies"]], "area int, blocks bigint, copies bigint"
         )
     )
-    chunks = (
-        asked.join(F.broadcast(homes), "cell")
-        .groupBy("cell", F.pmod(F.xxhash64("id"), F.col("chunks")).alias("chunk"))
-        .agg(
-            F.collect_list(F.struct("id", "theta")).alias("q"),
-            F.array_distinct(F.flatten(F.collect_list("areas"))).alias("areas"),
-        )
-        .select(
-            F.struct("cell", "chunk").alias("chunk"),
-            F.col("q.id").alias("query_ids"),
-            F.flatten("q.theta").alias("query_cells"),
-            "areas",
-        )
-    )
     blocks = (
         placed.join(layout, "area")
         .groupBy("area", "copies", F.pmod(F.xxhash64("id"), F.col("blocks")).alias("block"))
@@ -188,7 +181,6 @@ def nearest_document(queries: DataFrame, training: DataFrame) -> DataFrame:
             "query_cells",
         )
     )
-    width = pivots.shape[1]
     found_type = "array<struct<id:bigint,js:double,train_id:bigint,year:int>>"
 
     @F.pandas_udf(found_type)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 from chronotext.functions.text import TOPIC_STOPWORDS, is_number, topic_tokens, word_tokens
 from chronotext.operators.nearest import nearest_document
 from chronotext.operators.words import count_tokens, frequency_rank, not_stopword
-from chronotext.session import materialize, spread
+from chronotext.session import materialize, shared_folder, spread
 
 # Topics of the model and the sum of its document prior.
 TOPICS = 50
@@ -28,7 +28,8 @@ def with_topic_tokens(docs: DataFrame, text: str = "text") -> DataFrame:
 def topic_vocabulary(docs: DataFrame, size: int = VOCABULARY_SIZE) -> DataFrame:
     """(idx, token, n): the most frequent topic tokens in rank order."""
     keep = not_stopword(TOPIC_STOPWORDS) & ~is_number("token")
-    return frequency_rank(count_tokens(docs, word_tokens("text"), keep)).where(F.col("idx") < size)
+    counts = materialize(count_tokens(docs, word_tokens("text"), keep))
+    return frequency_rank(counts).where(F.col("idx") < size)
 
 
 def vectorizer(vocab: DataFrame) -> CountVectorizerModel:
@@ -97,12 +98,13 @@ def train(
 ) -> TopicModel:
     """Fit a topic model to (doc_id, text).
 
-    The count vectors are written once, in a fixed order, because every iteration reads them and
-    the online optimiser samples by position.
+    The count vectors are checkpointed once, in a fixed order, because every iteration reads them
+    and the online optimiser samples by position.
     """
     vectors = vectorizer(topic_vocabulary(docs, vocabulary_size))
     counted = vectors.transform(with_topic_tokens(docs)).select(doc_id, "features")
-    fixed = materialize(spread(counted, doc_id).sortWithinPartitions(doc_id))
+    shared_folder(docs.sparkSession)
+    fixed = spread(counted, doc_id).sortWithinPartitions(doc_id).checkpoint()
     lda = LDA(
         k=k, maxIter=iterations, seed=seed, optimizer="online", docConcentration=[alpha_sum / k] * k
     )

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from chronotext.functions.text import VOCABULARY_STOPWORDS, letter_tokens, lookup_line
 from chronotext.operators.joins import lookup_join
+from chronotext.session import materialize
 
 # Words ranked above this can be hot; each word below it holds less than 1/HEAD of all tokens,
 # because that many others are at least as frequent.
@@ -27,6 +28,8 @@ def not_stopword(stopwords: list[str]) -> Column:
 def frequency_rank(counts: DataFrame, bucket_rows: int = 1_000_000) -> DataFrame:
     """Number (token, n) rows from 0, most frequent first, equal counts by token.
 
+    ``counts`` is read several times, so it is best a materialised frame.
+
     No task sorts the whole vocabulary. Rows of equal count are ranked on their own and start
     where the more frequent ones end. Counts shared by more than ``bucket_rows`` tokens are cut
     into hash buckets, and their order among equals is bucket, then token. The table of starts
@@ -55,7 +58,7 @@ def frequency_rank(counts: DataFrame, bucket_rows: int = 1_000_000) -> DataFrame
 def vocabulary(docs: DataFrame, text: str = "text") -> DataFrame:
     """(idx, token, n) of the letter tokens without stop words."""
     counts = count_tokens(docs, letter_tokens(text), not_stopword(VOCABULARY_STOPWORDS))
-    return frequency_rank(counts)
+    return frequency_rank(materialize(counts))
 
 
 def vocabulary_lines(vocab: DataFrame) -> DataFrame:

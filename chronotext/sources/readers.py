@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from chronotext.functions.text import fields, html_content, html_title, leading_year
 from chronotext.operators.arcs import parse_year_pairs
 from chronotext.operators.topics import TIME_SLOTS
-from chronotext.session import materialize
+from chronotext.session import fits_broadcast, materialize
 
 # Name patterns of the files read.
 TOPIC_FILES = "topic-*-var-e-log-prob.dat"
@@ -80,7 +80,7 @@ def read_listed_texts(spark: SparkSession, list_path: str, directory: str) -> tu
 
 
 def number_lines(lines: DataFrame, file: str = "file") -> DataFrame:
-    """Add ``line``, the 0-based line number in each file, to (file, split, place, ...).
+    """Add ``line``, the 0-based line number in each file, to materialised (file, split, place, ...).
 
     ``split`` orders the pieces of a file and ``place`` the lines of one piece. Lines are counted
     per piece and each piece starts where the ones before it end; only these counts are shuffled
@@ -93,6 +93,8 @@ def number_lines(lines: DataFrame, file: str = "file") -> DataFrame:
     starts = pieces.select(
         file, "split", (F.coalesce(F.sum("lines").over(before), F.lit(0)) - F.col("first")).alias("_start")
     )
+    if fits_broadcast(starts):
+        starts = F.broadcast(starts)
     return lines.join(starts, [file, "split"]).withColumn("line", F.col("_start") + F.col("place")).drop("_start")
 
 
