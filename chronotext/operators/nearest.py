@@ -9,19 +9,27 @@ chunks of limited size, and each (chunk, block) row is one matrix computation.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F
 
 from chronotext.session import materialize
 
-# Bounds: pivots and rings are fewer for fewer documents, so that an area fills a block.
-PIVOTS = 64
-RINGS = 32
+# The functions below travel with the tasks, so that executors need not have this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+# Bounds of the search. Pivots and rings are fewer for fewer documents, so that an area fills a
+# block; blocks and chunks grow by up to GROWTH with the data, so that a row that is shipped
+# carries enough work.
+PIVOTS = 256
+RINGS = 16
 BLOCK_ROWS = 1024
 CHUNK_ROWS = 256
+GROWTH = 8
 CHUNKS_PER_COPY = 4
 SLACK = 1e-6
 
@@ -57,15 +65,29 @@ def _matrix(thetas: pd.Series) -> np.ndarray:
 
 def _best_in_block(query_ids, queries, train_ids, years, train) -> list[dict]:
     """Nearest training row of each query; near ties are settled by the plain formula, then id."""
-    rough = all_divergences(queries, train)
-    row, column = np.nonzero(rough <= rough.min(axis=1, keepdims=True) + 1e-9)
-    exact = divergences(queries[row], train[column])
-    order = np.lexsort((train_ids[column], exact, row))
-    _, first = np.unique(row[order], return_index=True)
-    return [
-        {"id": query_ids[row[i]], "js": exact[i], "train_id": train_ids[column[i]], "year": years[column[i]]}
-        for i in order[first]
-    ]
+    best = []
+    for start in range(0, len(queries), 256):
+        part = queries[start : start + 256]
+        rough = all_divergences(part, train)
+        row, column = np.nonzero(rough <= rough.min(axis=1, keepdims=True) + 1e-9)
+        exact = divergences(part[row], train[column])
+        order = np.lexsort((train_ids[column], exact, row))
+        _, first = np.unique(row[order], return_index=True)
+        best += [
+            {
+                "id": query_ids[start + row[i]],
+                "js": exact[i],
+                "train_id": train_ids[column[i]],
+                "year": years[column[i]],
+            }
+            for i in order[first]
+        ]
+    return best
+
+
+def _rows(least: int, total: int, tasks: int) -> int:
+    """Rows of one block or chunk: some for each task, within bounds."""
+    return max(least, min(least * GROWTH, total // (4 * tasks)))
 
 
 def nearest_document(queries: DataFrame, training: DataFrame) -> DataFrame:
@@ -83,9 +105,11 @@ def nearest_document(queries: DataFrame, training: DataFrame) -> DataFrame:
         .agg(F.min(F.struct("id", "year")).alias("first"))
         .select("first.id", "first.year", "theta")
     ).where(has_weight)
+    tasks = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     total = train.count()
-    n_pivots = min(PIVOTS, -(-total // BLOCK_ROWS))
-    n_rings = min(RINGS, -(-total // (BLOCK_ROWS * PIVOTS)))
+    block_rows = _rows(BLOCK_ROWS, total, tasks)
+    n_pivots = min(PIVOTS, -(-total // block_rows))
+    n_rings = min(RINGS, -(-total // (block_rows * PIVOTS)))
     pivot_rows = train.orderBy(F.xxhash64("id"), "id").limit(n_pivots).collect()
     if not pivot_rows:
         return queries.limit(0).selectExpr(
@@ -130,8 +154,9 @@ def nearest_document(queries: DataFrame, training: DataFrame) -> DataFrame:
     asked = materialize(
         queries.select("id", "theta", place("theta").alias("at")).select("id", "theta", "at.cell")
     ).where(has_weight)
+    chunk_rows = _rows(CHUNK_ROWS, asked.count(), tasks)
     # One row per pivot.
-    homes = asked.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / CHUNK_ROWS).alias("chunks"))
+    homes = asked.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / chunk_rows).alias("chunks"))
     chunks = materialize(
         asked.join(F.broadcast(homes), "cell")
         .groupBy("cell", F.pmod(F.xxhash64("id"), F.col("chunks")).alias("chunk"))
@@ -151,7 +176,7 @@ def nearest_document(queries: DataFrame, training: DataFrame) -> DataFrame:
         .toPandas()
     )
     layout = areas.groupby("area", as_index=False)["n"].sum().merge(wanted, on="area")
-    layout["blocks"] = -(-layout["n"] // BLOCK_ROWS)
+    layout["blocks"] = -(-layout["n"] // block_rows)
     layout = F.broadcast(
         queries.sparkSession.createDataFrame(
             layout[["area", "blocks", "copies"]], "area int, blocks bigint, copies bigint"
@@ -195,7 +220,6 @@ def nearest_document(queries: DataFrame, training: DataFrame) -> DataFrame:
 
     best = F.min(F.struct("js", "train_id", "year")).alias("best")
     # Little data but much work per row: a fixed number of partitions, which is not coalesced.
-    tasks = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     place_of = ["area", "block", "copy"]
     return (
         visits.repartition(tasks, *place_of)

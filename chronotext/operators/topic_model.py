@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.ml.clustering import LDA, LocalLDAModel
 from pyspark.ml.feature import CountVectorizerModel
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from chronotext.functions.text import TOPIC_STOPWORDS, is_number, topic_tokens, word_tokens
 from chronotext.operators.nearest import nearest_document
@@ -68,19 +68,16 @@ class TopicModel:
 
     def listing(self, words: int = LISTED_WORDS) -> DataFrame:
         """(topic, weight, words): prior weight and top words of each topic."""
-        topics = self.model.describeTopics(words)
-        session = topics.sparkSession
-        lookup = session.createDataFrame(list(enumerate(self.vectors.vocabulary)), "idx int, token string")
-        priors = self.model.estimatedDocConcentration().toArray().tolist()
-        weights = session.createDataFrame(list(enumerate(priors)), "topic int, weight double")
-        named = (
-            topics.select("topic", F.posexplode("termIndices").alias("place", "idx"))
-            .join(lookup, "idx")
-            .groupBy("topic")
-            .agg(F.sort_array(F.collect_list(F.struct("place", "token"))).alias("words"))
-            .select("topic", F.array_join("words.token", " ").alias("words"))
-        )
-        return weights.join(named, "topic").select("topic", "weight", "words")
+        vocabulary = self.vectors.vocabulary
+        priors = self.model.estimatedDocConcentration().toArray()
+        # One row per topic, each with the given number of words.
+        described = self.model.describeTopics(words).select("topic", "termIndices").collect()
+        rows = [
+            (row.topic, float(priors[row.topic]), " ".join(vocabulary[i] for i in row.termIndices))
+            for row in described
+        ]
+        session = SparkSession.getActiveSession()
+        return session.createDataFrame(rows, "topic int, weight double, words string")
 
 
 def _part(path: str, name: str) -> str:

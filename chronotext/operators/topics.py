@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from chronotext.functions.text import clip
+
 # The first year of a topic-by-time table and its number of time slots.
 FIRST_YEAR = 1800
 TIME_SLOTS = 100
@@ -71,6 +73,6 @@ def topic_listing(counts: DataFrame, chars: int = LISTING_CHARS) -> DataFrame:
         .select("topic", F.struct("place", entry.alias("entry")).alias("cell"))
         .groupBy("topic")
         .agg(F.sort_array(F.collect_list("cell")).alias("cells"))
-        .select("topic", F.left(F.array_join("cells.entry", " "), F.lit(chars)).alias("line"))
+        .select("topic", clip(F.array_join("cells.entry", " "), chars).alias("line"))
     )
     return totals.join(lines, "topic")

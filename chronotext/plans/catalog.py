@@ -275,6 +275,15 @@ def topic_term_lines(spark, folder):
     return topics.term_lines(topics.ranked_terms(topic_cells(spark, folder)))
 
 
+def topic_matrix_cells(spark, folder):
+    """The vectors of a label, one after the other, as the lines of one topic file."""
+    lines = table(spark, folder, "embeddings").select(
+        F.col("label").alias("file"), F.col("vec_id").alias("split"), F.posexplode("embedding").alias("place", "logp")
+    )
+    numbered = readers.number_lines(materialize(lines))
+    return numbered.select(F.col("file").alias("topic"), *readers.matrix_cell("line"), "logp")
+
+
 def topic_type_counts(spark, folder):
     return topics.unpack_counts(packed_counts(spark, folder), PACK_MASK, PACK_BITS)
 
@@ -332,7 +341,7 @@ QUERIES: dict[str, Query] = {
         dtm_docs_per_year, title_overlap, page_articles, corpus_overlap, page_by_id,
         first_year_groups, year_windows, kl_pairs, js_pairs, js_nearest_year,
         js_mean_by_year_gap, topic_lowest_terms, topic_top_terms, topic_term_lines,
-        topic_type_counts, topic_listing, doc_topic_scores, year_pair_arcs, lda_topics,
+        topic_matrix_cells, topic_type_counts, topic_listing, doc_topic_scores, year_pair_arcs, lda_topics,
         lda_nearest_year,
     )
 }

@@ -214,6 +214,11 @@ ORACLE: dict[str, str] = {
     "topic_term_lines": _with(CELLS, _ranked("ASC"))
     + """ SELECT topic, year, concat(topic, chr(9), year, chr(9), string_agg(term, ' ' ORDER BY place)) AS value
           FROM ranked GROUP BY topic, year""",
+    "topic_matrix_cells": """WITH cells AS (
+            SELECT label, vec_id, unnest(range(len(embedding))) AS place, unnest(embedding) AS logp FROM embeddings),
+          numbered AS (
+            SELECT label, logp, row_number() OVER (PARTITION BY label ORDER BY vec_id, place) - 1 AS line FROM cells)
+          SELECT label AS topic, CAST(line // 100 AS INT) AS term_idx, CAST(line % 100 AS INT) AS time_idx, logp FROM numbered""",
     "topic_type_counts": _with(SOURCES, UNPACKED) + " SELECT type, topic, n FROM unpacked",
     "topic_listing": _with(SOURCES, UNPACKED)
     + """ SELECT topic, count(*) AS types, CAST(sum(n) AS BIGINT) AS total,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from chronotext.functions.text import fields, html_content, html_title, leading_year
 from chronotext.operators.arcs import parse_year_pairs
@@ -116,12 +116,15 @@ def read_topic_matrix(spark: SparkSession, directory: str, slots: int = TIME_SLO
         )
         .where(F.col("file").rlike(TOPIC_FILE))
     )
-    numbered = number_lines(materialize(lines))
-    return numbered.select(
-        F.regexp_extract("file", TOPIC_FILE, 1).cast("int").alias("topic"),
-        F.floor(F.col("line") / slots).cast("int").alias("term_idx"),
-        (F.col("line") % slots).cast("int").alias("time_idx"),
-        "logp",
+    topic = F.regexp_extract("file", TOPIC_FILE, 1).cast("int").alias("topic")
+    return number_lines(materialize(lines)).select(topic, *matrix_cell("line", slots), "logp")
+
+
+def matrix_cell(line: str, slots: int = TIME_SLOTS) -> tuple[Column, Column]:
+    """Term and time slot of a line number in a term-major matrix."""
+    return (
+        F.floor(F.col(line) / slots).cast("int").alias("term_idx"),
+        (F.col(line) % slots).cast("int").alias("time_idx"),
     )
 
 

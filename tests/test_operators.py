@@ -284,6 +284,11 @@ def test_nearest_document_ties_and_zero_vectors(spark):
     assert [(r.id, r.train_id, r.year) for r in got] == [(0, 3, 1803)]
 
 
+def test_nearest_document_without_queries(spark):
+    training = spark.createDataFrame([(7, 1807, [0.5, 0.5])], THETAS)
+    assert nearest.nearest_document(training.select("id", "theta").limit(0), training).collect() == []
+
+
 def test_nearest_document_without_training(spark):
     queries = spark.createDataFrame([(0, [0.6, 0.4])], "id long, theta array<double>")
     assert nearest.nearest_document(queries, spark.createDataFrame([], THETAS)).collect() == []
