@@ -40,8 +40,8 @@ def derived_year() -> Column:
 
 
 def head_line(text: Column | str = "text") -> Column:
-    """The first line of a document, cut like a page title."""
-    return F.left(F.substring_index(text, "\n", 1), F.lit(60))
+    """The first line of a document, which serves as its title."""
+    return F.substring_index(text, "\n", 1)
 
 
 def articles(spark: SparkSession, folder: str) -> DataFrame:

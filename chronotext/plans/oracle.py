@@ -32,7 +32,7 @@ def _js(p: str, q: str) -> str:
 LETTER_TOKENS = "regexp_extract_all(lower(text), '[a-z][''a-z]*')"
 WORD_TOKENS = "regexp_extract_all(lower(text), '[a-z0-9_]+')"
 YEAR = "(1650 + (doc_id * 7) % 300)"
-HEAD_LINE = "left(split_part(text, chr(10), 1), 60)"
+HEAD_LINE = "split_part(text, chr(10), 1)"
 
 
 def _slug(title: str) -> str:
