@@ -33,9 +33,18 @@ def topic_vocabulary(docs: DataFrame, size: int = VOCABULARY_SIZE) -> DataFrame:
 
 
 def vectorizer(vocab: DataFrame) -> CountVectorizerModel:
-    """A count vectorizer over a bounded vocabulary in rank order."""
+    """A count vectorizer over a bounded vocabulary in rank order.
+
+    ``CountVectorizerModel.from_vocabulary`` makes one call to the JVM per word, which takes most
+    of a minute for a full vocabulary; one joined string takes one call.
+    """
     words = [row.token for row in vocab.orderBy("idx").select("token").collect()]
-    return CountVectorizerModel.from_vocabulary(words, inputCol="tokens", outputCol="features")
+    strings = vocab.sparkSession._jvm.org.apache.commons.lang3.StringUtils
+    model = CountVectorizerModel._create_from_java_class(
+        "org.apache.spark.ml.feature.CountVectorizerModel", strings.split("\n".join(words), "\n")
+    )
+    model.setInputCol("tokens").setOutputCol("features")
+    return model._set(vocabSize=len(words))
 
 
 class TopicModel:

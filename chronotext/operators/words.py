@@ -32,21 +32,24 @@ def frequency_rank(counts: DataFrame, bucket_rows: int = 1_000_000) -> DataFrame
 
     No task sorts the whole vocabulary. Rows of equal count are ranked on their own and start
     where the more frequent ones end. Counts shared by more than ``bucket_rows`` tokens are cut
-    into hash buckets, and their order among equals is bucket, then token. The table of starts
+    into hash buckets, and their order among equals is bucket, then token. The table of buckets
     has one row per distinct count, at most the square root of twice the number of tokens, plus
-    one per full bucket.
+    one per full bucket. It is summed up per binary length of the count, of which there are 64.
     """
     shared = counts.groupBy("n").agg(F.count(F.lit(1)).alias("tokens"))
     buckets = shared.select("n", F.ceil(F.col("tokens") / bucket_rows).alias("buckets"))
     placed = counts.join(F.broadcast(buckets), "n").select(
         "token", "n", F.pmod(F.xxhash64("token"), F.col("buckets")).alias("bucket")
     )
-    before = Window.orderBy(F.desc("n"), "bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = (
+    sizes = (
         placed.groupBy("n", "bucket")
         .agg(F.count(F.lit(1)).alias("tokens"))
-        .select("n", "bucket", F.coalesce(F.sum("tokens").over(before), F.lit(0)).alias("start"))
+        .withColumn("bits", F.length(F.bin("n")))
     )
+    starts = sizes.join(F.broadcast(_before(sizes.groupBy("bits").agg(F.sum("tokens").alias("tokens")))), "bits")
+    more_frequent = Window.partitionBy("bits").orderBy(F.desc("n"), "bucket")
+    inside = F.sum("tokens").over(more_frequent.rowsBetween(Window.unboundedPreceding, -1))
+    starts = starts.select("n", "bucket", (F.col("before") + F.coalesce(inside, F.lit(0))).alias("start"))
     within = F.row_number().over(Window.partitionBy("n", "bucket").orderBy("token"))
     return (
         placed.withColumn("place", within)
@@ -55,6 +58,12 @@ def frequency_rank(counts: DataFrame, bucket_rows: int = 1_000_000) -> DataFrame
     )
 
 
+def _before(totals: DataFrame) -> DataFrame:
+    """(bits, before): the tokens whose count is longer, from the at most 64 rows of totals."""
+    longer = Window.orderBy(F.desc("bits")).rowsBetween(Window.unboundedPreceding, -1)
+    return totals.select("bits", F.coalesce(F.sum("tokens").over(longer), F.lit(0)).alias("before"))
+
+
 def vocabulary(docs: DataFrame, text: str = "text") -> DataFrame:
     """(idx, token, n) of the letter tokens without stop words."""
     counts = count_tokens(docs, letter_tokens(text), not_stopword(VOCABULARY_STOPWORDS))

@@ -50,9 +50,10 @@ def sparse_corpus(spark: SparkSession, texts_path: str, out: str, by_year: bool
 def time_sequence(spark: SparkSession, texts_path: str, out: str) -> None:
     """The number of years, then the number of documents of each year in order."""
     counts = materialize(words.documents_per_time(readers.read_year_texts(spark, texts_path)))
-    total = counts.agg(F.count(F.lit(1)).cast("string").alias("value")).withColumn("year", F.lit(""))
-    each = counts.select(F.col("n_docs").cast("string").alias("value"), "year")
-    writers.write_lines(total.unionByName(each).orderBy("year").select("value"), out)
+    total = counts.agg(F.count(F.lit(1)).alias("n_docs")).select(F.lit(0).alias("line"), F.lit("").alias("year"), "n_docs")
+    each = counts.select(F.lit(1).alias("line"), "year", "n_docs")
+    ordered = total.unionByName(each).orderBy("line", "year")
+    writers.write_lines(ordered.select(F.col("n_docs").cast("string").alias("value")), out)
 
 
 def topic_terms(spark: SparkSession, lookup_path: str, topics_path: str, out: str, largest: bool = False) -> None:
