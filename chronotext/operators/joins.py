@@ -34,18 +34,27 @@ def lookup_join(
     lookup: DataFrame,
     on: str,
     frequent: Column,
+    row_id: str,
+    salts: int = 256,
     limit: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """Inner join of ``facts`` with a materialised ``lookup`` that has one row per key.
 
     A lookup of checked size is broadcast whole. A larger one is cut by ``frequent``, a condition
-    that only a fixed number of keys can meet: those keys, the only ones that can be hot, are
-    broadcast, and the facts without one of them are joined by a shuffle.
+    that only a fixed number of keys can meet, the only ones that can be hot. Their rows are
+    broadcast if they fit and otherwise repeated over ``salts``, where ``row_id`` spreads the
+    facts. The other facts are joined by a shuffle.
     """
     if fits_broadcast(lookup, limit):
         return facts.join(F.broadcast(lookup), on)
     head = lookup.where(frequent)
-    tail = lookup.where(~frequent)
-    hot = facts.join(F.broadcast(head), on)
-    rare = facts.join(F.broadcast(head.select(on)), on, "left_anti").join(tail, on)
+    keys = F.broadcast(head.select(on))
+    if fits_broadcast(head, limit):
+        hot = facts.join(F.broadcast(head), on)
+    else:
+        salt = F.pmod(F.xxhash64(row_id), F.lit(salts)).cast("int")
+        copies = head.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        spread = facts.join(keys, on, "left_semi").withColumn("_salt", salt)
+        hot = spread.join(copies, [on, "_salt"]).drop("_salt")
+    rare = facts.join(keys, on, "left_anti").join(lookup.where(~frequent), on)
     return hot.unionByName(rare)

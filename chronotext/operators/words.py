@@ -90,7 +90,7 @@ def sparse_documents(
     """
     tokens = docs.select(*keys, F.explode(letter_tokens(text)).alias("token"))
     hits = lookup_join(
-        tokens, vocab.select("token", "idx"), "token", F.col("idx") < head, **limits
+        tokens, vocab.select("token", "idx"), "token", F.col("idx") < head, keys[0], **limits
     ).select(*keys, "idx")
     everyone = docs.select(*keys, F.lit(None).cast("long").alias("idx"))
     term = F.when(F.col("idx").isNotNull(), F.struct("idx", "n"))
@@ -126,7 +126,7 @@ def score_topics(
     """
     occurrences = docs.select(doc_id, F.explode(tokens).alias("token"))
     scores = (
-        lookup_join(occurrences, weights, "token", heaviest, **limits)
+        lookup_join(occurrences, weights, "token", heaviest, doc_id, **limits)
         .select(doc_id, F.inline("topics"))
         .groupBy(doc_id, "topic")
         .agg(F.sum("weight").alias("score"))

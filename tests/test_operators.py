@@ -42,7 +42,7 @@ def test_vocabulary_and_sparse_documents(spark):
     )
     vocab = materialize(words.vocabulary(docs))
     assert pairs(vocab.select("idx", "token")) == [(0, "cat"), (1, "cat's"), (2, "rd"), (3, "sat")]
-    for options in ({}, {"limit": -1, "head": 1}, {"limit": -1, "head": 0}):
+    for options in ({}, {"limit": 60, "head": 1}, {"limit": -1, "head": 1, "salts": 3}, {"limit": -1, "head": 0}):
         sparse = words.sparse_documents(docs, vocab, ["doc_id", "year"], **options)
         line = F.concat("year", F.lit("\t"), tx.sparse_line("terms"))
         got = [row[0] for row in sparse.orderBy("doc_id").select(line).collect()]
@@ -68,7 +68,7 @@ def test_sparse_counts_add_up_with_a_hot_word(spark):
     docs = texts(spark, *(" ".join(rng.choices(["hot"] * 9 + [f"w{c}" for c in "abcdef"], k=30)) for _ in range(60)))
     vocab = materialize(words.vocabulary(docs))
     total = vocab.agg(F.sum("n")).first()[0]
-    for options in ({}, {"limit": -1, "head": 2}):
+    for options in ({}, {"limit": 100, "head": 2}, {"limit": -1, "head": 2, "salts": 5}):
         sparse = words.sparse_documents(docs, vocab, ["doc_id"], **options)
         assert sparse.select(F.explode("terms").alias("t")).agg(F.sum("t.n")).first()[0] == total
 
@@ -78,7 +78,7 @@ def test_documents_per_time(spark):
     assert [tuple(r) for r in words.documents_per_time(docs).collect()] == [("1900", 1), ("1901", 2)]
 
 
-@pytest.mark.parametrize("options", [{}, {"limit": -1}])
+@pytest.mark.parametrize("options", [{}, {"limit": 150}, {"limit": -1, "salts": 2}])
 def test_score_topics(spark, options):
     weights = materialize(
         spark.createDataFrame(
