@@ -2,9 +2,9 @@
 
 The square root of the divergence is a metric, so distances to a few fixed pivots bound the
 distance between any two documents. Training documents are grouped by nearest pivot and by how
-far they lie from it. A query needs only the groups whose bound is within the distance to its
-nearest pivot, which is itself a training document. Groups are cut into blocks and queries into
-chunks of limited size, and each (chunk, block) row is one matrix computation.
+far they lie from it. A query needs only the groups whose bound is within the distance to the
+nearest document of a sample. Groups are cut into blocks and queries into chunks of limited size,
+and each (chunk, block) row is one matrix computation.
 """
 
 from __future__ import annotations
@@ -23,10 +23,11 @@ from chronotext.session import materialize
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 # Bounds of the search. Pivots and rings are fewer for fewer documents, so that an area fills a
-# block; blocks and chunks grow by up to GROWTH with the data, so that a row that is shipped
+# small block; blocks and chunks grow by up to GROWTH with the data, so that a row that is shipped
 # carries enough work.
 PIVOTS = 256
 RINGS = 16
+SAMPLE = 2048
 BLOCK_ROWS = 1024
 CHUNK_ROWS = 256
 GROWTH = 8
@@ -108,14 +109,17 @@ def nearest_document(queries: DataFrame, training: DataFrame) -> DataFrame:
     tasks = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     total = train.count()
     block_rows = _rows(BLOCK_ROWS, total, tasks)
-    n_pivots = min(PIVOTS, -(-total // block_rows))
-    n_rings = min(RINGS, -(-total // (block_rows * PIVOTS)))
-    pivot_rows = train.orderBy(F.xxhash64("id"), "id").limit(n_pivots).collect()
-    if not pivot_rows:
+    n_pivots = min(PIVOTS, -(-total // BLOCK_ROWS))
+    n_rings = min(RINGS, -(-total // (BLOCK_ROWS * PIVOTS)))
+    # A bounded sample of training documents; the first of them are the pivots.
+    n_sample = max(n_pivots, min(SAMPLE, total // 64))
+    sample_rows = train.orderBy(F.xxhash64("id"), "id").limit(n_sample).collect()
+    if not sample_rows:
         return queries.limit(0).selectExpr(
             "id", "cast(null as double) js", "cast(null as bigint) train_id", "cast(null as int) year"
         )
-    pivots = np.array([row.theta for row in pivot_rows], dtype=float)
+    sample = np.array([row.theta for row in sample_rows], dtype=float)
+    pivots = sample[:n_pivots]
     width = pivots.shape[1]
 
     @F.pandas_udf("cell int, ring int, distance double")
@@ -143,11 +147,12 @@ def nearest_document(queries: DataFrame, training: DataFrame) -> DataFrame:
     @F.pandas_udf("array<int>")
     def reach(chunks: pd.Series) -> pd.Series:
         def needed(cells: np.ndarray) -> list[int]:
-            distance = np.sqrt(all_divergences(cells.reshape(-1, width), pivots))
-            home = distance.min(axis=1, keepdims=True)
+            distance = np.sqrt(all_divergences(cells.reshape(-1, width), sample))
+            nearest = distance.min(axis=1, keepdims=True)
+            home = distance[:, :n_pivots].min(axis=1, keepdims=True)
             to_cell = distance[:, cell]
             bound = np.maximum.reduce([to_cell - high, low - to_cell, (to_cell - home) / 2])
-            return area[(bound <= home + SLACK).any(axis=0)].tolist()
+            return area[(bound <= nearest + SLACK).any(axis=0)].tolist()
 
         return pd.Series([needed(cells) for cells in chunks])
 
