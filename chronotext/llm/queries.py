@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from chronotext.llm import embeddings, licenses, packing, secrets, topk, urls
+from chronotext.llm import embeddings, licenses, minhash, packing, secrets, substrings, topk, urls
 from chronotext.llm.common import inline, table
 
 #: (host, path, verdict)
@@ -17,6 +17,10 @@ URL_RULES = (
 )
 
 
+def op1_minhash_near_duplicates(spark, folder):
+    return minhash.near_duplicates(table(spark, folder, "documents"))
+
+
 def op2_exact_top_k(spark, folder):
     return topk.exact_top_k(table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0)
 
@@ -38,13 +42,20 @@ def op8_packing(spark, folder):
     return packing.pack(table(spark, folder, "documents"))
 
 
+def op9_substring_dedup(spark, folder):
+    return substrings.repeated_passages(table(spark, folder, "documents"))
+
+
 def op10_secret_scan(spark, folder):
     return secrets.scan_secrets(table(spark, folder, "documents"))
 
 
 QUERIES = {
     query.__name__: query
-    for query in (op2_exact_top_k, op3_license_scan, op4_url_filter, op5_embedding_near_duplicates, op8_packing, op10_secret_scan)
+    for query in (
+        op1_minhash_near_duplicates, op2_exact_top_k, op3_license_scan, op4_url_filter, op5_embedding_near_duplicates,
+        op8_packing, op9_substring_dedup, op10_secret_scan,
+    )
 }
 
 _RULES = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
@@ -62,7 +73,33 @@ def _canonical_sql(text: str) -> str:
 
 _KNOWN = ", ".join("('{}', '{}')".format(name, body.replace("'", "''")) for name, body in licenses.KNOWN)
 
+_WORDS = "list_filter(regexp_split_to_array({}, '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')"
+
 ORACLE = {
+    "op1_minhash_near_duplicates": f"""
+        WITH RECURSIVE words AS (SELECT doc_id, {_WORDS.format("translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS w
+                       FROM documents),
+        sets AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+                   ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s
+                 FROM words),
+        items AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM sets),
+        links AS (SELECT a.doc_id AS a, b.doc_id AS b FROM items a JOIN items b ON a.x = b.x AND a.doc_id <> b.doc_id
+                  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))),
+        reach(a, b) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+        roots AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a)
+        SELECT doc_id, len(s) AS n_shingles, component_id, doc_id = component_id AS kept FROM sets JOIN roots USING (doc_id)""",
+    "op9_substring_dedup": f"""
+        WITH words AS (SELECT doc_id, {_WORDS.format("coalesce(text, '')")} AS w FROM documents),
+        windows AS (SELECT doc_id, i, array_to_string(w[i:i + 19], ' ') AS x
+                    FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM words)),
+        late AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY x ORDER BY doc_id, i) AS r FROM windows) WHERE r > 1),
+        gone AS (SELECT doc_id, list(DISTINCT p) AS g FROM (SELECT doc_id, unnest(range(i, i + 20)) AS p FROM late) GROUP BY doc_id),
+        alone AS (SELECT doc_id, p, w[p] AS word FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS p FROM words)),
+        left_ AS (SELECT a.doc_id, string_agg(word, ' ' ORDER BY p) AS kept FROM alone a
+                  WHERE NOT EXISTS (SELECT 1 FROM (SELECT doc_id, unnest(g) AS q FROM gone) x WHERE x.doc_id = a.doc_id AND x.q = a.p)
+                  GROUP BY a.doc_id)
+        SELECT doc_id, len(w) AS n_words, coalesce(len(g), 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+        FROM words LEFT JOIN gone USING (doc_id) LEFT JOIN left_ USING (doc_id)""",
     "op2_exact_top_k": """
         WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS u
                    FROM embeddings
