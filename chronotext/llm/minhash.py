@@ -16,13 +16,23 @@ from chronotext.session import materialize
 WORDS = 5
 #: Linked are sets with 100 * intersection >= PERCENT * union.
 PERCENT = 75
-#: A pair at the threshold shares each coordinate with chance 0.75; of 40 it shares fewer than 18 with
-#: a chance of 1 in 50,000, and more alike pairs far more seldom.
-COORDINATES, MATCHES = 40, 18
+#: Coordinates that are posted, and of the longer sketch, a byte each, that lists of many members compare.
+COORDINATES, SKETCH = 40, 512
+#: Members of a list that one task compares with as many others.
+LIST_ROWS = 4096
 _RANDOM = np.random.default_rng(7)
-_FACTORS = _RANDOM.integers(0, 2**63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_SHIFTS = _RANDOM.integers(0, 2**63, COORDINATES, dtype=np.uint64)
-_SALTS = mix(np.arange(1, COORDINATES + 1, dtype=np.uint64))
+_FACTORS = _RANDOM.integers(0, 2**63, SKETCH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_SHIFTS = _RANDOM.integers(0, 2**63, SKETCH, dtype=np.uint64)
+_SALTS = mix(np.arange(1, SKETCH + 1, dtype=np.uint64))
+
+
+def least_matches(coordinates: int, percent: int) -> int:
+    """How many coordinates a linked pair shares but for a chance of about 1 in 50,000 at the threshold.
+
+    A pair shares each with the chance of its similarity; this is 4.1 standard deviations below.
+    """
+    share = percent / 100
+    return max(1, int(coordinates * share - 4.1 * (coordinates * share * (1 - share)) ** 0.5))
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -51,13 +61,13 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int = WORDS) -> tuple
     return shingles[keep], kept[bounds]
 
 
-def signatures(shingles: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+def signatures(shingles: np.ndarray, bounds: np.ndarray, coordinates: int = COORDINATES, kind=np.uint64) -> np.ndarray:
     """Coordinates of each non-empty set: least values, scattered so that a number names its coordinate too."""
-    out = np.empty((len(bounds) - 1, COORDINATES), np.uint64)
+    out = np.empty((len(bounds) - 1, coordinates), kind)
     if len(out):
-        for c in range(COORDINATES):
+        for c in range(coordinates):
             values = np.minimum.reduceat(shingles * _FACTORS[c] + _SHIFTS[c], bounds[:-1])
-            out[:, c] = mix(values ^ _SALTS[c])
+            out[:, c] = mix(values ^ _SALTS[c]).astype(kind)
     return out
 
 
@@ -90,7 +100,37 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for low, high, data, offsets in slices(batch.column(1)):
             shingles, bounds = shingle_sets(data, offsets)
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), binaries(shingles, bounds)], ["id", "shingles"])
+            sketch = signatures(shingles, bounds, SKETCH, np.uint8)  # listed texts have a shingle each
+            rows = binaries(sketch.reshape(-1), np.arange(high - low + 1) * SKETCH)
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), binaries(shingles, bounds), rows], ["id", "shingles", "sketch"])
+
+
+def _compare(percent: int):
+    def run(group: pa.Table) -> pa.Table:
+        """Pairs (a, b) of a list's members (side 0: apart from its hub, side 1: all) that may be linked.
+
+        Skipped are members of one component, sizes too different, and pairs that a list of a smaller
+        token they share gives already.
+        """
+        ids, parts, sizes = (group[c].to_numpy() for c in ("id", "part", "n_shingles"))
+        side, apart = group["side"].to_numpy(), group["apart"].to_numpy(zero_copy_only=False)
+        sketch = np.frombuffer(b"".join(group["sketch"].to_pylist()), np.uint8).reshape(-1, SKETCH)
+        token, prefixes = group["token"][0].as_py(), group["prefix"]
+        right, least = np.flatnonzero(side == 1), least_matches(SKETCH, percent)
+        found_a, found_b = [], []
+        for x in np.flatnonzero(side == 0):
+            small, large = np.minimum(sizes[x], sizes[right]), np.maximum(sizes[x], sizes[right])
+            y = right[(parts[right] != parts[x]) & (100 * small >= percent * large) & ~(apart[right] & (ids[right] <= ids[x]))]
+            y = y[(sketch[y] == sketch[x]).sum(1) >= least]
+            if len(y):
+                own = prefixes[int(x)].as_py()
+                y = [i for i in y if min(set(own).intersection(prefixes[int(i)].as_py())) == token]
+                found_a += [ids[x]] * len(y)
+                found_b += ids[y].tolist()
+        a, b = np.array(found_a, np.int64), np.array(found_b, np.int64)
+        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+    return run
 
 
 def _confirm(percent: int):
@@ -116,15 +156,16 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     1. One scan gives each document its set's size, two sums over the set and its signature. Documents
        with equal sets are one class from here on, whatever their number.
     2. Each class is posted under its coordinate-value pairs. A pair that only one class has joins
-       nothing. As a match shares MATCHES coordinates, a class with fewer shared ones drops out, and
-       of the others only the prefix, all but the MATCHES - 1 most frequent, is posted; what a
-       passage in many documents makes frequent is left out first.
+       nothing. As a match shares ``least_matches`` coordinates, a class with fewer shared ones drops out,
+       and of the others only the prefix is posted, all but the most frequent ones by that number less one;
+       what a passage in many documents makes frequent is left out first.
     3. In each posting list the smallest class is the hub, and all others are paired with it. Pairs are
-       kept if their signatures collide MATCHES times, then confirmed on the full sets.
-    4. Classes that are now connected need not be compared with each other. The rest of each list is:
-       those not connected with its hub are paired with all members of other components.
+       kept if enough coordinates collide, then confirmed on the full sets.
+    4. Classes that are now connected need not be compared with each other. Of each list, those
+       that are not connected with its hub are compared with all members of other components, in
+       blocks of bounded size, by a longer sketch; the few pairs that reach its threshold are confirmed.
 
-    Lists of copies thus give one pair per member. Step 4 pairs only the members a list leaves apart.
+    Lists of copies thus give one pair per member, and only likely pairs are ever written as rows.
 
     Null, empty and wordless texts have 0 shingles, their own component, and no link. Repeated rows
     give one row each. Rows with a null id are left out; other columns are not read.
@@ -139,10 +180,12 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     tokens = first.select("id", F.explode("signature").alias("token"))
     frequent = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     listed = tokens.join(frequent, "token").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("n", "token")))["token"].alias("tokens"))
-    prefix = F.slice("tokens", F.lit(1), F.size("tokens") - F.lit(MATCHES - 1))
-    posts = materialize(listed.where(F.size("tokens") >= MATCHES).select("id", F.explode(prefix).alias("token")))
-    members = posts.select(F.col("id").alias("doc_id")).distinct()
-    sets = materialize(join_small(docs, materialize(members), "doc_id", "left_semi").mapInArrow(_sets, "id long, shingles binary"))
+    matches = least_matches(COORDINATES, percent)
+    prefix = F.slice("tokens", F.lit(1), F.size("tokens") - F.lit(matches - 1))
+    prefixes = materialize(listed.where(F.size("tokens") >= matches).select("id", prefix.alias("prefix")))
+    posts = prefixes.select("id", F.explode("prefix").alias("token"))
+    members = prefixes.select(F.col("id").alias("doc_id"))
+    sets = materialize(join_small(docs, members, "doc_id", "left_semi").mapInArrow(_sets, "id long, shingles binary, sketch binary"))
     sets = sets.dropDuplicates(["id"])
     hubs = posts.groupBy("token").agg(F.min("id").alias("a"))
     pairs = posts.join(hubs, "token").where(F.col("a") < F.col("id")).select("a", F.col("id").alias("b")).distinct()
@@ -150,13 +193,18 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     roots = connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
     joined = posts.join(roots, F.col("id") == F.col("node"), "left").select("token", "id", F.coalesce("component", "id").alias("part"))
     joined = materialize(joined)
-    split = joined.groupBy("token").agg(F.min(F.struct("id", "part")).alias("hub"), F.min("part").alias("low"), F.max("part").alias("high"))
-    split = materialize(split.where(F.col("low") < F.col("high")).select("token", F.col("hub.id").alias("hub"), F.col("hub.part").alias("hub_part")))
-    open_ = materialize(joined.join(split, "token"))
-    apart = open_.where(F.col("part") != F.col("hub_part")).select("token", F.col("id").alias("x"), F.col("part").alias("x_part"))
-    others = open_.where(F.col("id") != F.col("hub")).select("token", F.col("id").alias("y"), F.col("part").alias("y_part"))
-    rest = apart.join(others, "token").where(F.col("x_part") != F.col("y_part"))
-    rest = rest.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    hub = F.min(F.struct("id", "part"))
+    split = joined.groupBy("token").agg(hub.alias("hub"), F.count(F.lit(1)).alias("n"), F.min("part").alias("low"), F.max("part").alias("high"))
+    blocks = F.ceil(F.col("n") / LIST_ROWS).cast("int")
+    split = materialize(split.where(F.col("low") < F.col("high")).select("token", F.col("hub.id").alias("hub"), F.col("hub.part").alias("hub_part"), blocks.alias("blocks")))
+    facts = first.select("id", "n_shingles").join(prefixes, "id").join(sets.select("id", "sketch"), "id")
+    open_ = joined.join(split, "token").where(F.col("id") != F.col("hub")).withColumn("apart", F.col("part") != F.col("hub_part"))
+    own, every = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    columns = ["token", "id", "part", "apart"]
+    left = open_.where("apart").select(*columns, F.lit(0).alias("side"), own.alias("i"), every.alias("j"))
+    right = open_.select(*columns, F.lit(1).alias("side"), own.alias("j"), every.alias("i"))
+    dealt = left.unionByName(right).join(facts, "id")
+    rest = dealt.groupBy("token", "i", "j").applyInArrow(_compare(percent), "a long, b long").distinct()
     more = materialize(_verify(rest, first, sets, percent))
     roots = connected_components(links.unionByName(more).select(F.col("a").alias("u"), F.col("b").alias("v")))
     classes = materialize(classes.join(roots, F.col("id") == F.col("node"), "left").select(*key, F.coalesce("component", "id").alias("component")))
@@ -171,7 +219,7 @@ def _verify(pairs: DataFrame, first: DataFrame, sets: DataFrame, percent: int) -
         F.col("id").alias(name), F.col("n_shingles").alias(f"n_{name}"), F.col("signature").alias(f"s_{name}")
     )
     tried = pairs.join(side("a"), "a").join(side("b"), "b")
-    alike = (F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent) & (F.size(F.array_intersect("s_a", "s_b")) >= MATCHES)
+    alike = (F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent) & (F.size(F.array_intersect("s_a", "s_b")) >= least_matches(COORDINATES, percent))
     tried = materialize(tried.where(alike).select("a", "b"))
     full = tried.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a")
     full = full.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")

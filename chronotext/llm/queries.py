@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import functions as F
 
-from chronotext.llm import embeddings, licenses, minhash, packing, secrets, substrings, topk, urls
+from chronotext.llm import bpe, embeddings, licenses, minhash, packing, secrets, substrings, topk, toxicity, urls
 from chronotext.llm.common import inline, table
 
 #: (host, path, verdict)
@@ -38,6 +39,15 @@ def op5_embedding_near_duplicates(spark, folder):
     return embeddings.near_duplicates(table(spark, folder, "embeddings"))
 
 
+def op6_bpe_round_trip(spark, folder):
+    return bpe.round_trip_digests(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op7_toxicity(spark, folder):
+    docs = table(spark, folder, "documents")
+    return toxicity.score_toxicity(docs, toxicity.learn(docs, table(spark, folder, "labels")))
+
+
 def op8_packing(spark, folder):
     return packing.pack(table(spark, folder, "documents"))
 
@@ -54,7 +64,7 @@ QUERIES = {
     query.__name__: query
     for query in (
         op1_minhash_near_duplicates, op2_exact_top_k, op3_license_scan, op4_url_filter, op5_embedding_near_duplicates,
-        op8_packing, op9_substring_dedup, op10_secret_scan,
+        op6_bpe_round_trip, op7_toxicity, op8_packing, op9_substring_dedup, op10_secret_scan,
     )
 }
 

@@ -23,8 +23,8 @@ from chronotext.llm.common import texts
 TRAIN_ROWS = 20_000
 #: Lengths of the word beginnings that are tried as stems beside whole words.
 STEMS = (4, 5, 6)
-#: An entry was seen after this many different words in toxic texts, and its odds are this high.
-LEAST_CONTEXTS, LEAST_LOG_ODDS = 4, 2.5
+#: An entry was seen in this many toxic texts and after as many different words, and its odds are this high.
+LEAST_CONTEXTS, LEAST_LOG_ODDS = 6, 2.5
 THRESHOLD = 0.3
 
 # English words of the small classes. Insults are learned.
@@ -157,44 +157,45 @@ def held_out(doc_id="doc_id"):
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
-    """(text, toxic) of the labelled documents that are not held out, ``rows`` of them at most."""
+    """(doc_id, text, toxic) of the labelled documents that are not held out, ``rows`` of them at most."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out())
     chosen = known.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     # At most ``rows`` pairs of numbers, so they are broadcast.
-    return texts(docs).join(F.broadcast(chosen), "doc_id").select("text", "toxic")
+    return texts(docs).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic")
 
 
 def _observe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(entry, toxic, before): the words before an entry in toxic texts; clean texts count as a whole."""
+    """(entry, before, doc_id, clean): the words before an entry in toxic texts; the number of clean texts."""
     for batch in batches:
         clean: dict[str, int] = defaultdict(int)
         pairs = set()
-        for text, toxic in zip(batch["text"], batch["toxic"]):
+        for doc_id, text, toxic in zip(batch["doc_id"], batch["text"], batch["toxic"]):
             words = WORD.findall(text.lower())
             if toxic:
                 for before, word in zip(["", *words], words):
-                    pairs.add((word, before))
+                    pairs.add((word, before, doc_id))
                     for n in STEMS:
                         if len(word) >= n:
-                            pairs.add((word[:n] + "*", before))
+                            pairs.add((word[:n] + "*", before, doc_id))
             else:
                 for word in set(words):
                     clean[word] += 1
                 for stem in {w[:n] + "*" for w in set(words) for n in STEMS if len(w) >= n}:
                     clean[stem] += 1
-        yield pd.DataFrame([(e, "", n) for e, n in clean.items()], columns=["entry", "before", "clean"])
-        yield pd.DataFrame([(e, b, 0) for e, b in pairs], columns=["entry", "before", "clean"])
+        columns = ["entry", "before", "doc_id", "clean"]
+        yield pd.DataFrame([(e, "", 0, n) for e, n in clean.items()], columns=columns)
+        yield pd.DataFrame([(e, b, i, 0) for e, b, i in pairs], columns=columns)
 
 
 def learn_lexicon(train: DataFrame, sizes: dict[int, int]) -> dict[str, float]:
-    """Entries that stand in toxic texts after many different words and hardly in clean ones.
+    """Entries that stand in several toxic texts after different words and hardly in clean ones.
 
-    Counting the different words before an entry, not its texts, keeps a toxic text that
-    was copied often from making all of its words insults.
+    Counting different words before an entry keeps a toxic text that was copied often from making all of
+    its words insults; counting texts does so for a long one.
     """
-    seen = train.mapInPandas(_observe, "entry string, before string, clean long")
-    toxic = F.count_distinct(F.when(F.col("clean") == 0, F.col("before")))
-    counts = seen.groupBy("entry").agg(toxic.alias("toxic"), F.sum("clean").alias("clean")).where(f"toxic >= {LEAST_CONTEXTS}")
+    seen = train.mapInPandas(_observe, "entry string, before string, doc_id long, clean long").groupBy("entry")
+    toxic = F.least(*[F.count_distinct(F.when(F.col("clean") == 0, F.col(c))) for c in ("before", "doc_id")])
+    counts = seen.agg(toxic.alias("toxic"), F.sum("clean").alias("clean")).where(f"toxic >= {LEAST_CONTEXTS}")
     odds = F.ln((F.col("toxic") + 0.5) / (sizes.get(1, 0) + 1)) - F.ln((F.col("clean") + 0.5) / (sizes.get(0, 0) + 1))
     chosen = counts.select("entry", odds.alias("odds")).where(F.col("odds") >= LEAST_LOG_ODDS)
     # Bounded by the training sample.

@@ -2,27 +2,57 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from chronotext.llm import packing, secrets
-from chronotext.llm.common import table
+from chronotext.llm import minhash, packing, secrets, substrings, toxicity
+from chronotext.llm.common import join_small, table
 from chronotext.session import materialize
 
 
-def redact(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    return secrets.redact_secrets(docs)
+def measured(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``n_chars`` as the changed text has it."""
+    return docs.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), "n_chars"))
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """Documents that the toxicity model does not reject; it is learned from the labels of ``folder``."""
+    return toxicity.drop_toxic(docs, toxicity.learn(docs, table(spark, folder, "labels")))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """The document of the smallest id of each group of near-duplicates, and all rows without an id."""
+    copies = minhash.near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct()
+    return join_small(docs, materialize(copies), "doc_id", "left_anti").select(*docs.columns)
+
+
+def drop_repeated_passages(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """All documents, without the words of passages that occur earlier."""
+    return measured(substrings.remove_repeated(docs))
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """All documents, with secrets replaced."""
+    return measured(secrets.redact_secrets(docs))
 
 
 def pack(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """(doc_id, n_tokens, bucket, batch, slot) of every document left."""
     return packing.pack(docs)
 
 
-STAGES = [("secrets", redact), ("packing", pack)]
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("minhash near-dedup", drop_near_duplicates),
+    ("substring dedup", drop_repeated_passages),
+    ("secret scans", redact_secrets),
+    ("packing", pack),
+]
 #: The toxicity model is learned from labels, which SQL cannot express.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, folder: str) -> DataFrame:
+    """All stages over ``documents``, each on what the one before wrote."""
     docs = table(spark, folder, "documents")
     for _, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, folder))
