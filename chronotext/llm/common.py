@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,7 +12,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from chronotext.session import fits_broadcast
 
 #: Bytes of text that a task works on at once; a longer text is worked on alone.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
+#: Rows and bytes that go to a Python worker at a time.
+BATCH_ROWS, BATCH_BYTES = 512, 16 << 20
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -24,9 +27,20 @@ def inline(spark: SparkSession, columns: list[str], rows) -> DataFrame:
     return spark.range(1).select(F.explode(F.array(*structs)).alias("r")).select("r.*")
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, from a session that hands long texts to Python in small batches; results do not depend on it."""
+    conf = df.sparkSession.conf
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{name}"
+        now = re.fullmatch(r"(-?\d+)b?", conf.get(key, None) or "")
+        if now and not 0 < int(now[1]) <= most:  # a size in other units was chosen by the user and stays
+            conf.set(key, str(most))
+    return df
+
+
 def texts(docs: DataFrame) -> DataFrame:
     """(doc_id, text) of the rows with an id; a null text is an empty one."""
-    named = docs.where(F.col("doc_id").isNotNull())
+    named = small_batches(docs).where(F.col("doc_id").isNotNull())
     return named.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
 
 

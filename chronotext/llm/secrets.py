@@ -10,7 +10,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from chronotext.llm.common import texts
+from chronotext.llm.common import small_batches, texts
 
 # The certain patterns, in the order in which equal starts are listed.
 BASE = (
@@ -162,4 +162,4 @@ def redact(text: str) -> str:
 
 def redact_secrets(docs: DataFrame) -> DataFrame:
     """``docs`` with the secrets of ``text`` replaced; all rows and columns stay."""
-    return docs.mapInPandas(_redact, docs.schema)
+    return small_batches(docs).mapInPandas(_redact, docs.schema)

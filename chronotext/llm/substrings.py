@@ -10,7 +10,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from chronotext.llm.common import join_small, slices, texts
+from chronotext.llm.common import join_small, slices, small_batches, texts
 from chronotext.llm.fmindex import FMIndex, repeated_windows
 from chronotext.llm.hashing import inside, runs, sequences, word_hashes, word_places
 from chronotext.session import materialize
@@ -254,4 +254,4 @@ def remove_repeated(docs: DataFrame) -> DataFrame:
     """``docs`` without the repeated words; texts that lose none are unchanged, and all rows and columns stay."""
     spans = materialize(repeated_spans(docs)).withColumnRenamed("spans", "_spans")
     joined = join_small(docs, spans, "doc_id", "left").select(*docs.columns, "_spans")
-    return joined.mapInPandas(_cut, docs.schema)
+    return small_batches(joined).mapInPandas(_cut, docs.schema)

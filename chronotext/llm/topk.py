@@ -14,7 +14,8 @@ from chronotext.session import materialize
 
 #: Rows of a block of queries and of a block of data; a task holds one of each.
 QUERY_BLOCK, DATA_BLOCK = 1024, 8192
-LEAF = 48
+#: Points of a leaf. Queries are kept in smaller groups, since a group is as demanding as its worst query.
+LEAF, QUERY_LEAF = 48, 8
 SCALE = 1024
 _EXACT = float(1 << 53)
 
@@ -24,12 +25,13 @@ class CoverTree:
 
     A node of covering radius r is cut into children around points that are more than r / 2 apart,
     taken farthest first, so that children cover at half the scale. Identical points, and nodes of
-    LEAF points or fewer, are leaves. ``points[low:high]`` are the points of a node.
+    ``leaf`` points or fewer, are leaves. ``points[low:high]`` are the points of a node.
     """
 
     FANOUT = 16
 
-    def __init__(self, points: np.ndarray):
+    def __init__(self, points: np.ndarray, leaf: int = LEAF):
+        self.leaf = leaf
         self.order = np.arange(len(points))
         self.nodes: list[tuple[np.ndarray, float, int, int, list[int]]] = []
         self.points = points
@@ -49,7 +51,7 @@ class CoverTree:
         while waiting:
             number = waiting.pop()
             _, radius, low, high, children = self.nodes[number]
-            if high - low <= LEAF or radius == 0:
+            if high - low <= self.leaf or radius == 0:
                 continue
             own = self.order[low:high].copy()
             x = self.points[own]
@@ -99,7 +101,7 @@ def dual_tree_search(query_points, query_ids, data_points, data_ids, k: int) ->
     below the worst k-th score of the query node; a bound equal to it is followed, for ties.
     """
     query_points, data_points = widened(query_points, data_points)
-    queries, data = CoverTree(query_points), CoverTree(data_points)
+    queries, data = CoverTree(query_points, QUERY_LEAF), CoverTree(data_points)
     ids, own = data_ids[data.order], query_ids[queries.order]
     best, scored = Best(len(own), k), 0
     if not len(own) or not len(ids):

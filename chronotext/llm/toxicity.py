@@ -17,7 +17,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from chronotext.llm.common import texts
+from chronotext.llm.common import small_batches, texts
 
 #: Labelled rows from which the model is learned: those with the smallest hashes of doc_id.
 TRAIN_ROWS = 20_000
@@ -261,4 +261,4 @@ def drop_toxic(docs: DataFrame, model: Model) -> DataFrame:
             rows = [features(t or "", model.lexicon) for t in batch["text"]]
             yield batch[np.array(model.scores(rows)) < THRESHOLD]
 
-    return docs.mapInPandas(run, docs.schema)
+    return small_batches(docs).mapInPandas(run, docs.schema)
