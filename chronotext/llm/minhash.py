@@ -17,7 +17,7 @@ WORDS = 5
 #: Linked are sets with 100 * intersection >= PERCENT * union.
 PERCENT = 75
 #: Coordinates that are posted, and of the longer sketch, a byte each, that lists of many members compare.
-COORDINATES, SKETCH = 40, 512
+COORDINATES, SKETCH = 40, 768
 #: Members of a list that one task compares with as many others.
 LIST_ROWS = 4096
 _RANDOM = np.random.default_rng(7)
@@ -205,7 +205,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     right = open_.select(*columns, F.lit(1).alias("side"), own.alias("j"), every.alias("i"))
     dealt = left.unionByName(right).join(facts, "id")
     rest = dealt.groupBy("token", "i", "j").applyInArrow(_compare(percent), "a long, b long").distinct()
-    more = materialize(_verify(rest, first, sets, percent))
+    more = materialize(_confirmed(rest, sets, percent))
     roots = connected_components(links.unionByName(more).select(F.col("a").alias("u"), F.col("b").alias("v")))
     classes = materialize(classes.join(roots, F.col("id") == F.col("node"), "left").select(*key, F.coalesce("component", "id").alias("component")))
     out = signed.select("doc_id", *key).join(classes, key, "left")
@@ -220,7 +220,11 @@ def _verify(pairs: DataFrame, first: DataFrame, sets: DataFrame, percent: int) -
     )
     tried = pairs.join(side("a"), "a").join(side("b"), "b")
     alike = (F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent) & (F.size(F.array_intersect("s_a", "s_b")) >= least_matches(COORDINATES, percent))
-    tried = materialize(tried.where(alike).select("a", "b"))
-    full = tried.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a")
+    return _confirmed(materialize(tried.where(alike).select("a", "b")), sets, percent)
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full sets reach the threshold."""
+    full = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a")
     full = full.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
     return full.select("a", "b", "x", "y").mapInArrow(_confirm(percent), "a long, b long")
