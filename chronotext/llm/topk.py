@@ -15,7 +15,7 @@ from chronotext.session import materialize
 #: Rows of a block of queries and of a block of data; a task holds one of each.
 QUERY_BLOCK, DATA_BLOCK = 1024, 8192
 #: Points of a leaf. Queries are kept in smaller groups, since a group is as demanding as its worst query.
-LEAF, QUERY_LEAF = 48, 8
+LEAF, QUERY_LEAF = 512, 64
 SCALE = 1024
 _EXACT = float(1 << 53)
 
@@ -82,6 +82,10 @@ class Best:
         self.ids = np.full((queries, k), np.iinfo(np.int64).max)
 
     def offer(self, rows: slice, scores: np.ndarray, ids: np.ndarray) -> None:
+        useful = (scores >= self.scores[rows, -1:]).any(0)
+        scores, ids = scores[:, useful], ids[useful]
+        if not len(ids):
+            return
         scores = np.hstack([self.scores[rows], scores])
         ids = np.hstack([self.ids[rows], np.broadcast_to(ids, (len(scores), len(ids)))])
         order = np.lexsort((ids, -scores), axis=1)[:, : self.k]
@@ -93,7 +97,7 @@ class Best:
         return float(self.scores[rows, -1].min())
 
 
-def dual_tree_search(query_points, query_ids, data_points, data_ids, k: int) -> tuple[np.ndarray, np.ndarray, int]:
+def dual_tree_search(query_points, query_ids, data_points, data_ids, k: int, leaves=(QUERY_LEAF, LEAF)) -> tuple[np.ndarray, np.ndarray, int]:
     """(scores, ids, pairs scored): for each query its k best points other than itself.
 
     A product of a query within r of q and a point within s of p is at most
@@ -101,7 +105,7 @@ def dual_tree_search(query_points, query_ids, data_points, data_ids, k: int) ->
     below the worst k-th score of the query node; a bound equal to it is followed, for ties.
     """
     query_points, data_points = widened(query_points, data_points)
-    queries, data = CoverTree(query_points, QUERY_LEAF), CoverTree(data_points)
+    queries, data = CoverTree(query_points, leaves[0]), CoverTree(data_points, leaves[1])
     ids, own = data_ids[data.order], query_ids[queries.order]
     best, scored = Best(len(own), k), 0
     if not len(own) or not len(ids):

@@ -130,7 +130,7 @@ def test_dual_tree_prunes():
     centers = rng.standard_normal((20, 8)) * 3000
     x = np.floor(centers[rng.integers(0, 20, 3000)] + rng.standard_normal((3000, 8)) * 20)
     ids = np.arange(3000)
-    scores, found, scored = topk.dual_tree_search(x[:60], ids[:60], x, ids, 10)
+    scores, found, scored = topk.dual_tree_search(x[:60], ids[:60], x, ids, 10, leaves=(8, 48))
     exact = x[:60] @ x.T
     exact[np.arange(60), np.arange(60)] = -np.inf
     assert (scores == -np.sort(-exact, 1)[:, :10]).all()
