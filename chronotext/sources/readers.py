@@ -71,10 +71,12 @@ def read_listed_texts(spark: SparkSession, list_path: str, directory: str) -> tu
     """
     listed = read_table(spark, list_path, "title", "year").withColumn("year", leading_year("year"))
     whole = F.regexp_replace(F.regexp_replace("value", r"\r?\n\z", ""), r"\r?\n", " ")
+    # Spark gives the name as part of a URL, in which a plus sign stands for itself.
+    name = F.url_decode(F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B")))
     texts = (
         spark.read.option("pathGlobFilter", "*_clean.txt")
         .text(directory, wholetext=True)
-        .select(F.regexp_extract("_metadata.file_name", CLEAN_TEXT, 1).alias("title"), whole.alias("text"))
+        .select(F.regexp_extract(name, CLEAN_TEXT, 1).alias("title"), whole.alias("text"))
     )
     return listed.join(texts, "title"), listed.join(texts, "title", "left_anti")
 

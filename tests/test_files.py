@@ -68,6 +68,16 @@ def test_listed_texts(spark, tmp_path):
     assert [tuple(r) for r in lost.collect()] == [("lost", 1807)]
 
 
+def test_listed_texts_with_any_title(spark, tmp_path):
+    titles = ["A Tale", "a%20b", "x+y", "Émile"]
+    listing = put(tmp_path / "list.txt", "".join(f"{t}\t1805\n" for t in titles))
+    for title in titles:
+        put(tmp_path / "texts" / f"{title}_clean.txt", title)
+    found, lost = readers.read_listed_texts(spark, listing, str(tmp_path / "texts"))
+    assert sorted((r["title"], r["text"]) for r in found.collect()) == sorted(zip(titles, titles))
+    assert lost.count() == 0
+
+
 def test_topic_matrix_over_many_splits(spark, tmp_path):
     for topic, sub in ((0, "a"), (12, "a/b")):
         cells = "\n".join(f"-{topic}.{k:05d}" for k in range(1050))
