@@ -106,26 +106,40 @@ def grammar() -> Transducer:
 GRAMMAR = grammar()
 
 
+_FIXED = {w: (name, 0.0) for name, words in (("harm", HARM), ("intent", INTENT), ("report", REPORT), ("negation", NEGATION), ("target", TARGET)) for w in words}
+_OTHER = "other", 0.0
+#: Words whose classes a task keeps from one text to the next.
+KEPT_WORDS = 200_000
+
+
 def word_class(word: str, lexicon: dict[str, float]) -> tuple[str, float]:
     """The class of a word, and how strongly it is an insult: by the whole word, else by its longest stem."""
     for entry in (word, *(word[:n] + "*" for n in reversed(STEMS) if len(word) >= n)):
         if entry in lexicon:
             return "insult", lexicon[entry]
-    for name, words in (("target", TARGET), ("negation", NEGATION), ("report", REPORT), ("intent", INTENT), ("harm", HARM)):
-        if word in words:
-            return name, 0.0
-    return "other", 0.0
+    return _FIXED.get(word, _OTHER)
 
 
-def features(text: str, lexicon: dict[str, float]) -> list[float]:
-    """What the grammar matches in the clauses of a whole text, as log(1 + sum) for each feature."""
+def features(text: str, lexicon: dict[str, float], kept: dict | None = None) -> list[float]:
+    """What the grammar matches in the clauses of a whole text, as log(1 + sum) for each feature.
+
+    ``kept`` holds the classes of words seen before, for the same lexicon.
+    """
     found = dict.fromkeys(FEATURES, 0.0)
     text = text.lower()
-    seen = set(WORD.findall(text))
-    classes = {w: word_class(w, lexicon) for w in seen}
-    if any(c in ("insult", "harm") for c, _ in classes.values()):
+    classes = {} if kept is None else kept
+    if len(classes) > KEPT_WORDS:
+        classes.clear()
+    some = False
+    for word in set(WORD.findall(text)):
+        symbol = classes.get(word)
+        if symbol is None:
+            symbol = classes[word] = word_class(word, lexicon)
+        if symbol is not _OTHER and symbol[0] in ("insult", "harm"):
+            some = True
+    if some:
         for clause in CLAUSE.split(text):
-            words = [classes.get(w, ("other", 0.0)) for w in WORD.findall(clause)]
+            words = [classes.get(w) or word_class(w, lexicon) for w in WORD.findall(clause)]
             if not any(c in ("insult", "harm") for c, _ in words):
                 continue
             state = GRAMMAR.start
@@ -245,8 +259,9 @@ def score_toxicity(docs: DataFrame, model: Model) -> DataFrame:
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        kept: dict = {}
         for batch in batches:
-            rows = [features(t, model.lexicon) for t in batch["text"]]
+            rows = [features(t, model.lexicon, kept) for t in batch["text"]]
             yield pd.DataFrame({"doc_id": batch["doc_id"], "score": model.scores(rows)})
 
     scored = texts(docs).mapInPandas(run, "doc_id long, score double")
@@ -257,8 +272,9 @@ def drop_toxic(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of ``docs`` whose text scores below the threshold, with all their columns."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        kept: dict = {}
         for batch in batches:
-            rows = [features(t or "", model.lexicon) for t in batch["text"]]
+            rows = [features(t or "", model.lexicon, kept) for t in batch["text"]]
             yield batch[np.array(model.scores(rows)) < THRESHOLD]
 
     return small_batches(docs).mapInPandas(run, docs.schema)
