@@ -9,6 +9,8 @@ from chronotext.functions.divergence import js
 # The year gaps reported.
 YEAR_GAPS = [0, 1, 2, 5, 10, 25, 50]
 PAIRS_PER_GAP = 1000
+# A key is cut in this many parts before its rows meet in one task.
+KEY_PARTS = 256
 
 
 def first_pairs(docs: DataFrame, gaps: list[int] = YEAR_GAPS, first: int = PAIRS_PER_GAP) -> DataFrame:
@@ -17,8 +19,8 @@ def first_pairs(docs: DataFrame, gaps: list[int] = YEAR_GAPS, first: int = PAIRS
     The result is exact, though not all pairs are formed. Every document that opens a pair opens
     at least one before the next opener, so only the first ``first`` openers of a gap matter. And
     a partner is among the first ``2 * first`` documents of its year: each document of that year
-    before i pairs with i, so fewer than ``first`` precede it. Both cuts run before the shuffle
-    in each task, and a hot year never travels.
+    before i pairs with i, so fewer than ``first`` precede it. Both cuts are made within hashed
+    parts of a year or gap before the rest meets, so one task never gets a whole hot year.
     """
     ids = docs.select("id", "year")
     last = ids.groupBy("year").agg(F.max("id").alias("last"))
@@ -39,15 +41,9 @@ def first_pairs(docs: DataFrame, gaps: list[int] = YEAR_GAPS, first: int = PAIRS
         ids.join(F.broadcast(reach), "year")
         .select("id", "year", F.inline("reach"))
         .where(F.col("id") < F.col("last"))
-        .withColumn("place", F.row_number().over(Window.partitionBy("d").orderBy("id")))
-        .where(F.col("place") <= first)
-        .select(F.col("id").alias("i"), "year", "d")
-    )
-    partners = (
-        ids.withColumn("place", F.row_number().over(Window.partitionBy("year").orderBy("id")))
-        .where(F.col("place") <= 2 * first)
-        .select(F.col("id").alias("j"), F.col("year").alias("other"))
     )
+    openers = first_by_id(openers, "d", first).select(F.col("id").alias("i"), "year", "d")
+    partners = first_by_id(ids, "year", 2 * first).select(F.col("id").alias("j"), F.col("year").alias("other"))
     both_ways = F.array_distinct(F.array(F.col("year") + F.col("d"), F.col("year") - F.col("d")))
     pairs = (
         partners.join(F.broadcast(openers.select("i", "d", F.explode(both_ways).alias("other"))), "other")
@@ -61,6 +57,15 @@ def first_pairs(docs: DataFrame, gaps: list[int] = YEAR_GAPS, first: int = PAIRS
     )
 
 
+def first_by_id(df: DataFrame, key: str, first: int) -> DataFrame:
+    """The rows of the ``first`` smallest ids of each key, cut within hashed parts of the key first."""
+    part = F.pmod(F.xxhash64("id"), F.lit(KEY_PARTS)).alias("_part")
+    for keys in ([key, part], [key]):
+        place = F.row_number().over(Window.partitionBy(*keys).orderBy("id"))
+        df = df.withColumn("_place", place).where(F.col("_place") <= first).drop("_place")
+    return df
+
+
 def mean_by_year_gap(docs: DataFrame, gaps: list[int] = YEAR_GAPS, first: int = PAIRS_PER_GAP) -> DataFrame:
     """(d, pairs, mean_js) over the first pairs of each gap; one row per gap, also without pairs.
 

@@ -25,49 +25,36 @@ def not_stopword(stopwords: list[str]) -> Column:
     return ~F.col("token").isin(stopwords)
 
 
-def frequency_rank(counts: DataFrame, bucket_rows: int = 1_000_000) -> DataFrame:
-    """Number (token, n) rows from 0, most frequent first, equal counts by token.
+def frequency_rank(counts: DataFrame) -> DataFrame:
+    """Number (token, n) rows from 0, most frequent first, equal counts by token, at every size."""
+    return number_in_order(counts, F.desc("n"), "token").select("idx", "token", "n")
 
-    ``counts`` is read several times, so it is best a materialised frame.
 
-    No task sorts the whole vocabulary. Rows of equal count are ranked on their own and start
-    where the more frequent ones end. Counts shared by more than ``bucket_rows`` tokens are cut
-    into hash buckets, and their order among equals is bucket, then token. The table of buckets
-    has one row per distinct count, at most the square root of twice the number of tokens, plus
-    one per full bucket. It is summed up per binary length of the count, of which there are 64.
+def number_in_order(df: DataFrame, *order: Column | str) -> DataFrame:
+    """Add ``idx``, the place from 0 in the given order, which tells all rows apart.
+
+    Runs a job: the rows are dealt out by ranges of the order, which unique rows split evenly, and
+    written with their place in the range. The ranges start where those before them end; that
+    table has one row per shuffle partition, so it is summed up in one task and broadcast.
     """
-    shared = counts.groupBy("n").agg(F.count(F.lit(1)).alias("tokens"))
-    buckets = shared.select("n", F.ceil(F.col("tokens") / bucket_rows).alias("buckets"))
-    placed = counts.join(F.broadcast(buckets), "n").select(
-        "token", "n", F.pmod(F.xxhash64("token"), F.col("buckets")).alias("bucket")
-    )
-    sizes = (
-        placed.groupBy("n", "bucket")
-        .agg(F.count(F.lit(1)).alias("tokens"))
-        .withColumn("bits", F.length(F.bin("n")))
+    row = F.monotonically_increasing_id()
+    placed = materialize(
+        df.repartitionByRange(*order).sortWithinPartitions(*order).select(
+            "*", F.shiftright(row, 33).alias("_range"), row.bitwiseAND(F.lit((1 << 33) - 1)).alias("_place")
+        )
     )
-    starts = sizes.join(F.broadcast(_before(sizes.groupBy("bits").agg(F.sum("tokens").alias("tokens")))), "bits")
-    more_frequent = Window.partitionBy("bits").orderBy(F.desc("n"), "bucket")
-    inside = F.sum("tokens").over(more_frequent.rowsBetween(Window.unboundedPreceding, -1))
-    starts = starts.select("n", "bucket", (F.col("before") + F.coalesce(inside, F.lit(0))).alias("start"))
-    within = F.row_number().over(Window.partitionBy("n", "bucket").orderBy("token"))
-    return (
-        placed.withColumn("place", within)
-        .join(F.broadcast(starts), ["n", "bucket"])
-        .select((F.col("start") + F.col("place") - 1).alias("idx"), "token", "n")
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = placed.groupBy("_range").agg(F.count(F.lit(1)).alias("_rows")).select(
+        "_range", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_start")
     )
-
-
-def _before(totals: DataFrame) -> DataFrame:
-    """(bits, before): the tokens whose count is longer, from the at most 64 rows of totals."""
-    longer = Window.orderBy(F.desc("bits")).rowsBetween(Window.unboundedPreceding, -1)
-    return totals.select("bits", F.coalesce(F.sum("tokens").over(longer), F.lit(0)).alias("before"))
+    numbered = placed.join(F.broadcast(starts), "_range")
+    return numbered.withColumn("idx", F.col("_start") + F.col("_place")).drop("_range", "_place", "_start")
 
 
 def vocabulary(docs: DataFrame, text: str = "text") -> DataFrame:
     """(idx, token, n) of the letter tokens without stop words."""
     counts = count_tokens(docs, letter_tokens(text), not_stopword(VOCABULARY_STOPWORDS))
-    return frequency_rank(materialize(counts))
+    return frequency_rank(counts)
 
 
 def vocabulary_lines(vocab: DataFrame) -> DataFrame:
@@ -85,22 +72,20 @@ def sparse_documents(
     """One row per document: its keys, number of distinct terms, and (idx, n) sorted by idx.
 
     ``keys`` starts with a unique document id. ``vocab`` is materialised. Documents without any
-    known token stay, with no terms. The one shuffle of the tokens is by document id, after words
-    have become numbers; counting and collecting both use it.
+    known token stay, with no terms. Words are counted per document in the scan task, before they
+    are looked up and shuffled; the other keys travel once per document.
     """
-    tokens = docs.select(*keys, F.explode(letter_tokens(text)).alias("token"))
+    tokens = docs.select(keys[0], F.explode(letter_tokens(text)).alias("token"))
+    counted = tokens.groupBy(keys[0], "token").agg(F.count(F.lit(1)).alias("n"))
     hits = lookup_join(
-        tokens, vocab.select("token", "idx"), "token", F.col("idx") < head, keys[0], **limits
-    ).select(*keys, "idx")
-    everyone = docs.select(*keys, F.lit(None).cast("long").alias("idx"))
+        counted, vocab.select("token", "idx"), "token", F.col("idx") < head, keys[0], **limits
+    ).select(keys[0], "idx", "n", *[F.lit(None).alias(key) for key in keys[1:]])
+    everyone = docs.select(*keys, F.lit(None).cast("long").alias("idx"), F.lit(None).cast("long").alias("n"))
     term = F.when(F.col("idx").isNotNull(), F.struct("idx", "n"))
     return (
         hits.unionByName(everyone)
-        .repartition(keys[0])
-        .groupBy(*keys, "idx")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .groupBy(*keys)
-        .agg(F.sort_array(F.collect_list(term)).alias("terms"))
+        .groupBy(keys[0])
+        .agg(*[F.max(key).alias(key) for key in keys[1:]], F.sort_array(F.collect_list(term)).alias("terms"))
         .select(*keys, F.size("terms").alias("n_terms"), "terms")
     )
 
@@ -122,14 +107,16 @@ def score_topics(
     """The ``k`` topics of each document with the largest sum of token weights.
 
     ``weights`` is materialised: token, an array of (topic, weight), and whatever ``heaviest``
-    needs to tell the fixed number of tokens that can be hot. Each occurrence of a token counts.
+    needs to tell the fixed number of tokens that can be hot. Each occurrence of a token counts;
+    they are counted per document before a token becomes a row for each of its topics.
     """
     occurrences = docs.select(doc_id, F.explode(tokens).alias("token"))
+    counted = occurrences.groupBy(doc_id, "token").agg(F.count(F.lit(1)).alias("_times"))
     scores = (
-        lookup_join(occurrences, weights, "token", heaviest, doc_id, **limits)
-        .select(doc_id, F.inline("topics"))
+        lookup_join(counted, weights, "token", heaviest, doc_id, **limits)
+        .select(doc_id, "_times", F.inline("topics"))
         .groupBy(doc_id, "topic")
-        .agg(F.sum("weight").alias("score"))
+        .agg(F.sum(F.col("weight") * F.col("_times")).alias("score"))
     )
     order = Window.partitionBy(doc_id).orderBy(F.desc("score"), "topic")
     return scores.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)

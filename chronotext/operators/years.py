@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from chronotext.functions.text import YEAR, explode_first_year, fields
+from chronotext.session import fits_broadcast, materialize
 
 PART_CHARS = 64 * 1024 * 1024
 
@@ -25,28 +26,55 @@ def year_documents(docs: DataFrame, low: int = 1700, high: int = 1911) -> DataFr
 
 
 def concat_by_year(docs: DataFrame, doc_id: str = "doc_id", part_chars: int = PART_CHARS) -> DataFrame:
-    """(year, part, n_docs, text): the texts of each first year, joined by spaces.
+    """(year, part, n_docs, text): the texts of each first year in id order, joined by spaces.
 
-    A year of up to ``part_chars`` characters is one part with its documents in id order. A
-    larger one is cut into parts by a hash of the id, in id order each, so no task ever holds a
-    whole hot year. The table of part counts has at most one row per year 501 ... 2199.
+    One rule at every size: a document is in part ``c div part_chars``, where c is the length of
+    the documents of its year before it, each with one separator. So no task holds a hot year.
+    Only (year, id, length) is ordered; the texts travel once to their part, or twice where the
+    table of parts is too large to broadcast. Runs jobs while the plan is built.
     """
-    dated = docs.select(doc_id, "text", explode_first_year("text").alias("year"))
-    parts = dated.where(F.col("year").isNotNull()).groupBy("year").agg(
-        F.ceil(F.sum(F.length("text") + 1) / part_chars).alias("parts")
+    dated = docs.select(doc_id, "text", explode_first_year("text").alias("year")).where("year IS NOT NULL")
+    sizes = dated.select("year", doc_id, (F.length("text").cast("long") + 1).alias("_size"))
+    parts = materialize(
+        sum_before(sizes, "year", doc_id, "_size").select(
+            doc_id, "year", F.floor(F.col("_before") / part_chars).cast("int").alias("part")
+        )
     )
-    part = F.pmod(F.xxhash64(doc_id), F.col("parts")).cast("int")
-    return (
-        dated.join(F.broadcast(parts), "year")
-        .groupBy("year", part.alias("part"))
-        .agg(
-            F.count(F.lit(1)).alias("n_docs"),
-            F.array_join(
-                F.transform(F.sort_array(F.collect_list(F.struct(doc_id, "text"))), lambda d: d["text"]),
-                " ",
-            ).alias("text"),
+    if fits_broadcast(parts):
+        placed = docs.select(doc_id, "text").join(F.broadcast(parts), doc_id)
+    else:
+        placed = docs.select(doc_id, "text").join(parts, doc_id)
+    return placed.groupBy("year", "part").agg(
+        F.count(F.lit(1)).alias("n_docs"),
+        F.array_join(
+            F.transform(F.sort_array(F.collect_list(F.struct(doc_id, "text"))), lambda d: d["text"]), " "
+        ).alias("text"),
+    )
+
+
+def sum_before(df: DataFrame, key: str, order: str, size: str) -> DataFrame:
+    """Add ``_before``, the sum of ``size`` over the rows of a key that come earlier.
+
+    The rows are dealt out by ranges of (key, order), so a hot key spans many ranges. Sums run
+    inside a range and start with the sum of the ranges before it. Ranges of one key are as many
+    as shuffle partitions at most.
+    """
+    ranged = materialize(
+        df.repartitionByRange(key, order).sortWithinPartitions(key, order).withColumn(
+            "_range", F.spark_partition_id()
         )
     )
+    earlier = Window.partitionBy(key).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = ranged.groupBy(key, "_range").agg(F.sum(size).alias("_sum")).select(
+        key, "_range", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_start")
+    )
+    inside = Window.partitionBy(key, "_range").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    running = ranged.withColumn("_inside", F.coalesce(F.sum(size).over(inside), F.lit(0)))
+    return (
+        running.join(starts, [key, "_range"])
+        .withColumn("_before", F.col("_start") + F.col("_inside"))
+        .drop("_range", "_start", "_inside")
+    )
 
 
 def year_windows(docs: DataFrame, keys: list[str], text: str = "text", margin: int = 50) -> DataFrame:
