@@ -1,92 +1,139 @@
-"""Topic models with Spark ML: training, topic distributions, dating by the nearest document."""
+"""Topic models by expectation maximisation over tables: training, topic shares, dating of texts."""
 
 from __future__ import annotations
 
-from pyspark.ml.clustering import LDA, LocalLDAModel
-from pyspark.ml.feature import CountVectorizerModel
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from chronotext.functions.text import TOPIC_STOPWORDS, is_number, topic_tokens, word_tokens
+from chronotext.functions.text import TOPIC_STOPWORDS, is_number, word_tokens
+from chronotext.operators.joins import lookup_join
 from chronotext.operators.nearest import nearest_document
-from chronotext.operators.words import count_tokens, frequency_rank, not_stopword
-from chronotext.session import materialize, shared_folder, spread
+from chronotext.operators.words import HEAD, frequency_rank, not_stopword
+from chronotext.session import materialize
 
 # Topics of the model and the sum of its document prior.
 TOPICS = 50
 ALPHA_SUM = 1.0
 LISTED_WORDS = 19
-# Spark ML keeps a dense words-by-topics matrix on the driver, so its vocabulary is bounded; this
-# is the bound of pyspark.ml.feature.CountVectorizer.
-VOCABULARY_SIZE = 1 << 18
-
-
-def with_topic_tokens(docs: DataFrame, text: str = "text") -> DataFrame:
-    return docs.withColumn("tokens", topic_tokens(text)).drop(text)
-
-
-def topic_vocabulary(docs: DataFrame, size: int = VOCABULARY_SIZE) -> DataFrame:
-    """(idx, token, n): the most frequent topic tokens in rank order."""
+# What each word has in each topic before any count.
+BETA = 0.01
+# Start values repeat after this many words; the step spreads neighbours.
+START_PERIOD = 10007
+START_STEP = 7919
+# Decimals to which topic shares are compared, so that equal documents tie whatever the order of sums.
+THETA_DECIMALS = 6
+
+
+def document_words(docs: DataFrame, doc_id: str = "doc_id") -> DataFrame:
+    """(doc_id, token, n): the topic tokens of each document, counted before they are shuffled."""
+    tokens = docs.select(doc_id, F.explode(word_tokens("text")).alias("token"))
     keep = not_stopword(TOPIC_STOPWORDS) & ~is_number("token")
-    counts = materialize(count_tokens(docs, word_tokens("text"), keep))
-    return frequency_rank(counts).where(F.col("idx") < size)
-
+    return tokens.where(keep).groupBy(doc_id, "token").agg(F.count(F.lit(1)).alias("n"))
 
-def vectorizer(vocab: DataFrame) -> CountVectorizerModel:
-    """A count vectorizer over a bounded vocabulary in rank order.
 
-    ``CountVectorizerModel.from_vocabulary`` makes one call to the JVM per word, which takes most
-    of a minute for a full vocabulary; one joined string takes one call.
-    """
-    words = [row.token for row in vocab.orderBy("idx").select("token").collect()]
-    strings = vocab.sparkSession._jvm.org.apache.commons.lang3.StringUtils
-    model = CountVectorizerModel._create_from_java_class(
-        "org.apache.spark.ml.feature.CountVectorizerModel", strings.split("\n".join(words), "\n")
+def start_mass(k: int) -> Column:
+    """Start values of a word's topics from its rank and count, the same on every cluster."""
+    place = F.col("idx") % START_PERIOD + 1
+    return F.array(
+        *[F.col("total") * (0.1 + place * (2 * i + 1) * START_STEP % START_PERIOD / START_PERIOD) for i in range(k)]
     )
-    model.setInputCol("tokens").setOutputCol("features")
-    return model._set(vocabSize=len(words))
 
 
 class TopicModel:
-    """A fitted model together with the vocabulary it was trained on."""
+    """All words of the training texts as a table (idx, token, total, mass).
 
-    def __init__(self, vectors: CountVectorizerModel, model: LocalLDAModel):
-        self.vectors = vectors
-        self.model = model
+    ``mass`` is the expected number of occurrences in each topic. Only its sums per topic, one
+    number each, are ever on the driver.
+    """
+
+    def __init__(self, words: DataFrame, alpha_sum: float = ALPHA_SUM):
+        self.words = words
+        self.alpha_sum = alpha_sum
+        self.k = words.select(F.size("mass")).head(1)[0][0] if words.head(1) else 0
+        sums = words.agg(F.count(F.lit(1)), *[F.sum(F.col("mass")[i]) for i in range(self.k)]).first()
+        self.vocabulary_size, self.topic_mass = sums[0], [float(s) for s in sums[1:]]
 
     def save(self, path: str) -> None:
-        self.vectors.write().overwrite().save(_part(path, "vocabulary"))
-        self.model.write().overwrite().save(_part(path, "topics"))
+        settings = self.words.sparkSession.createDataFrame([(self.alpha_sum,)], "alpha_sum double")
+        self.words.write.mode("overwrite").parquet(_part(path, "words"))
+        settings.write.mode("overwrite").parquet(_part(path, "settings"))
 
     @classmethod
-    def load(cls, path: str) -> TopicModel:
-        return cls(
-            CountVectorizerModel.load(_part(path, "vocabulary")), LocalLDAModel.load(_part(path, "topics"))
-        )
+    def load(cls, spark: SparkSession, path: str) -> TopicModel:
+        alpha_sum = spark.read.parquet(_part(path, "settings")).first()[0]
+        return cls(spark.read.parquet(_part(path, "words")), alpha_sum)
 
-    def thetas(self, docs: DataFrame) -> DataFrame:
-        """The documents with their topic distribution; tokens unseen in training are ignored.
+    def expected(self, counted: DataFrame, thetas: DataFrame | None, doc_id: str) -> DataFrame:
+        """(doc_id, idx, token, total, m0, m1, ...): each count dealt out over the topics.
 
-        A document without any known token gets the zero vector.
+        A count is split by the topic's share of the document times the word's share of the
+        topic. Without ``thetas`` all topics are alike in a document. The words are broadcast
+        where they fit; beyond, hot ones are salted by document.
         """
-        vectors = self.vectors.transform(with_topic_tokens(docs))
-        scored = self.model.transform(vectors)
-        return scored.withColumn("theta", vector_to_array("topicDistribution")).drop(
-            "tokens", "features", "topicDistribution"
+        whole = [mass + BETA * self.vocabulary_size for mass in self.topic_mass]
+        shares = self.words.select(
+            "idx",
+            "token",
+            "total",
+            F.array(*[(F.col("mass")[i] + BETA) / whole[i] for i in range(self.k)]).alias("share"),
+        )
+        facts = counted.join(thetas, doc_id) if thetas is not None else counted.withColumn(
+            "theta", F.array_repeat(F.lit(1.0 / self.k), self.k)
+        )
+        joined = lookup_join(facts, shares, "token", F.col("idx") < HEAD, doc_id)
+        products = joined.select(
+            doc_id, "idx", "token", "total", "n", *[(F.col("theta")[i] * F.col("share")[i]).alias(f"m{i}") for i in range(self.k)]
         )
+        every = sum((F.col(f"m{i}") for i in range(1, self.k)), F.col("m0"))
+        scaled = products.withColumn("_scale", F.col("n") / every)
+        return scaled.select(
+            doc_id, "idx", "token", "total", *[(F.col(f"m{i}") * F.col("_scale")).alias(f"m{i}") for i in range(self.k)]
+        )
+
+    def document_shares(self, expected: DataFrame, doc_id: str) -> DataFrame:
+        """(doc_id, theta), written to the shared folder."""
+        sums = expected.groupBy(doc_id).agg(*self._sums())
+        tokens = sum((F.col(f"m{i}") for i in range(1, self.k)), F.col("m0"))
+        shares = [(F.col(f"m{i}") + self.alpha_sum / self.k) / (tokens + self.alpha_sum) for i in range(self.k)]
+        return materialize(sums.select(doc_id, F.array(*shares).alias("theta")))
+
+    def improved(self, expected: DataFrame) -> TopicModel:
+        """The model with the word masses that ``expected`` adds up to."""
+        sums = expected.groupBy("idx", "token", "total").agg(*self._sums())
+        mass = F.array(*[F.col(f"m{i}") for i in range(self.k)]).alias("mass")
+        return TopicModel(materialize(sums.select("idx", "token", "total", mass)), self.alpha_sum)
+
+    def _sums(self) -> list[Column]:
+        return [F.sum(f"m{i}").alias(f"m{i}") for i in range(self.k)]
+
+    def thetas(self, docs: DataFrame, doc_id: str = "doc_id", passes: int = 20) -> DataFrame:
+        """The documents without their text but with their topic shares; the words stay as trained.
+
+        Tokens unseen in training are ignored. A document without any known token gets the zero
+        vector. Every pass reads all counts and writes one row per document.
+        """
+        zero = F.array_repeat(F.lit(0.0), self.k)
+        if not self.k:
+            return docs.drop("text").withColumn("theta", zero)
+        counted = materialize(document_words(docs, doc_id))
+        shares = None
+        for _ in range(passes):
+            shares = self.document_shares(self.expected(counted, shares, doc_id), doc_id)
+        return docs.drop("text").join(shares, doc_id, "left").withColumn("theta", F.coalesce("theta", zero))
 
     def listing(self, words: int = LISTED_WORDS) -> DataFrame:
-        """(topic, weight, words): prior weight and top words of each topic."""
-        vocabulary = self.vectors.vocabulary
-        priors = self.model.estimatedDocConcentration().toArray()
-        # One row per topic, each with the given number of words.
-        described = self.model.describeTopics(words).select("topic", "termIndices").collect()
-        rows = [
-            (row.topic, float(priors[row.topic]), " ".join(vocabulary[i] for i in row.termIndices))
-            for row in described
-        ]
-        session = SparkSession.getActiveSession()
-        return session.createDataFrame(rows, "topic int, weight double, words string")
+        """(topic, weight, words): the prior's part for each topic and the topic's top words.
+
+        The prior is divided as the occurrences are. Equal masses go by token.
+        """
+        masses = self.words.select("token", F.posexplode("mass").alias("topic", "mass"))
+        # So short a limit is applied in the scan tasks, before the topics meet.
+        order = Window.partitionBy("topic").orderBy(F.desc(F.round("mass", 6)), "token")
+        top = masses.withColumn("place", F.row_number().over(order)).where(F.col("place") <= words)
+        whole = sum(self.topic_mass) or 1.0
+        weights = F.array(*[F.lit(self.alpha_sum * mass / whole) for mass in self.topic_mass])
+        return top.groupBy("topic").agg(
+            F.array_join(F.sort_array(F.collect_list(F.struct("place", "token")))["token"], " ").alias("words")
+        ).select("topic", F.get(weights, F.col("topic")).alias("weight"), "words")
 
 
 def _part(path: str, name: str) -> str:
@@ -94,33 +141,32 @@ def _part(path: str, name: str) -> str:
 
 
 def train(
-    docs: DataFrame,
-    doc_id: str = "doc_id",
-    k: int = TOPICS,
-    alpha_sum: float = ALPHA_SUM,
-    iterations: int = 20,
-    seed: int = 42,
-    vocabulary_size: int = VOCABULARY_SIZE,
+    docs: DataFrame, doc_id: str = "doc_id", k: int = TOPICS, alpha_sum: float = ALPHA_SUM, iterations: int = 20
 ) -> TopicModel:
-    """Fit a topic model to (doc_id, text).
+    """Fit a topic model to (doc_id, text): all words of all documents in every iteration.
 
-    The count vectors are checkpointed once, in a fixed order, because every iteration reads them
-    and the online optimiser samples by position.
+    The counts are written once. An iteration joins them with the documents' topics and the
+    words' topics and adds up both sides in partial sums; both are written to the shared folder,
+    so a plan never spans iterations. ``doc_id`` is unique.
     """
-    vectors = vectorizer(topic_vocabulary(docs, vocabulary_size))
-    counted = vectors.transform(with_topic_tokens(docs)).select(doc_id, "features")
-    shared_folder(docs.sparkSession)
-    fixed = spread(counted, doc_id).sortWithinPartitions(doc_id).checkpoint()
-    lda = LDA(
-        k=k, maxIter=iterations, seed=seed, optimizer="online", docConcentration=[alpha_sum / k] * k
-    )
-    return TopicModel(vectors, lda.fit(fixed))
+    counted = materialize(document_words(docs, doc_id))
+    ranked = frequency_rank(counted.groupBy("token").agg(F.sum("n").alias("n")))
+    words = ranked.withColumnRenamed("n", "total").withColumn("mass", start_mass(k))
+    model, shares = TopicModel(materialize(words), alpha_sum), None
+    if not model.k:
+        return model
+    for last in range(iterations):
+        expected = model.expected(counted, shares, doc_id)
+        if last < iterations - 1:
+            shares = model.document_shares(expected, doc_id)
+        model = model.improved(expected)
+    return model
 
 
 def load_or_train(docs: DataFrame, path: str, reset: bool = False, **options) -> TopicModel:
     """The model saved at ``path``; trained and saved when there is none or on ``reset``."""
     if not reset and _exists(docs, path):
-        return TopicModel.load(path)
+        return TopicModel.load(docs.sparkSession, path)
     model = train(docs, **options)
     model.save(path)
     return model
@@ -128,18 +174,20 @@ def load_or_train(docs: DataFrame, path: str, reset: bool = False, **options) ->
 
 def _exists(docs: DataFrame, path: str) -> bool:
     jvm = docs.sparkSession._jvm
-    target = jvm.org.apache.hadoop.fs.Path(_part(path, "topics"))
+    target = jvm.org.apache.hadoop.fs.Path(f"{_part(path, 'settings')}/_SUCCESS")
     return target.getFileSystem(docs.sparkSession._jsc.hadoopConfiguration()).exists(target)
 
 
-def date_documents(model: TopicModel, unseen: DataFrame, training: DataFrame) -> DataFrame:
-    """(doc_id, actual_year, train_id, nearest_year, js) for documents of (doc_id, year, text).
+def date_documents(model: TopicModel, unseen: DataFrame, training: DataFrame, passes: int = 20) -> DataFrame:
+    """(doc_id, actual_year, train_id, nearest_year, js) for all documents of (doc_id, year, text).
 
-    Documents without a token known to the model have no distribution and are not dated.
+    Documents without a token known to the model cannot be dated: their last three columns are
+    NULL. Topic shares are compared to six decimals.
     """
-    known = model.thetas(training).select(F.col("doc_id").alias("id"), "year", "theta")
-    asked = materialize(model.thetas(unseen).select(F.col("doc_id").alias("id"), "year", "theta"))
+    rounded = F.transform("theta", lambda share: F.round(share, THETA_DECIMALS)).alias("theta")
+    known = model.thetas(training, passes=passes).select(F.col("doc_id").alias("id"), "year", rounded)
+    asked = materialize(model.thetas(unseen, passes=passes).select(F.col("doc_id").alias("id"), "year", rounded))
     nearest = nearest_document(asked.select("id", "theta"), known).withColumnRenamed("year", "nearest_year")
-    return asked.select("id", F.col("year").alias("actual_year")).join(nearest, "id").select(
+    return asked.select("id", F.col("year").alias("actual_year")).join(nearest, "id", "left").select(
         F.col("id").alias("doc_id"), "actual_year", "train_id", "nearest_year", "js"
     )

@@ -16,6 +16,11 @@ from chronotext.sources import readers
 Query = Callable[[SparkSession, str], DataFrame]
 
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
+# Small enough that years of the given tables fill several parts.
+YEAR_PART_CHARS = 8192
+# Few enough iterations that their SQL can be written out.
+MODEL_TOPICS = 10
+MODEL_ITERATIONS = 3
 PACK_BITS = 5
 PACK_MASK = 31
 
@@ -224,7 +229,7 @@ def page_by_id(spark, folder):
 
 
 def first_year_groups(spark, folder):
-    return years.concat_by_year(articles(spark, folder))
+    return years.concat_by_year(articles(spark, folder), part_chars=YEAR_PART_CHARS)
 
 
 def year_windows(spark, folder):
@@ -318,8 +323,8 @@ def year_pair_arcs(spark, folder):
 
 
 def lda_topics(spark, folder):
-    model = topic_model.train(documents(spark, folder), k=10, iterations=10)
-    return model.listing()
+    model = topic_model.train(documents(spark, folder), k=MODEL_TOPICS, iterations=MODEL_ITERATIONS)
+    return model.listing().withColumn("weight", F.round("weight", 6))
 
 
 def lda_nearest_year(spark, folder):
@@ -329,8 +334,9 @@ def lda_nearest_year(spark, folder):
         (F.lit(1700) + F.col("page_id") % 212).alias("year"),
         F.col("content").alias("text"),
     )
-    model = topic_model.train(training, k=10, iterations=10)
-    return topic_model.date_documents(model, spread(unseen, "doc_id"), training)
+    model = topic_model.train(training, k=MODEL_TOPICS, iterations=MODEL_ITERATIONS)
+    dated = topic_model.date_documents(model, spread(unseen, "doc_id"), training, passes=MODEL_ITERATIONS)
+    return dated.withColumn("js", F.round("js", 6))
 
 
 QUERIES: dict[str, Query] = {

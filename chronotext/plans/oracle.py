@@ -125,6 +125,63 @@ pair_lines AS (
   SELECT printf('%d-%d,%.12f', a.year, b.year, {_js('a.theta', 'b.theta')}) AS value
   FROM year_means a JOIN year_means b ON a.year < b.year)"""
 
+TOPIC_COUNT, ROUNDS = 10, 3
+
+
+def _topic_words(name: str, source: str) -> str:
+    return f"""{name} AS MATERIALIZED (
+  SELECT doc_id, token, count(*) AS n FROM (SELECT doc_id, unnest({WORD_TOKENS}) AS token FROM {source})
+  WHERE token NOT IN ({_quoted(tx.TOPIC_STOPWORDS)}) AND NOT regexp_full_match(token, '[0-9]+') GROUP BY ALL)"""
+
+
+def _topic_shares(name: str, mass: str) -> str:
+    return f"""{name} AS MATERIALIZED (
+  SELECT token, k, (mass + 0.01) / (sum(mass) OVER (PARTITION BY k) + 0.01 * (SELECT count(*) FROM ranked)) AS share
+  FROM {mass})"""
+
+
+def _topic_round(prefix: str, words_: str, shares: str, n: int) -> list[str]:
+    """Round ``n``, from 1, of a set of documents: the dealt counts and then the topics of its documents."""
+    theta = "" if n == 1 else f"JOIN {prefix}_theta{n - 1} USING (doc_id, k)"
+    p = "share" if n == 1 else "share * theta"
+    return [
+        f"""{prefix}_dealt{n} AS MATERIALIZED (
+  SELECT doc_id, token, k, n * p / sum(p) OVER (PARTITION BY doc_id, token) AS m
+  FROM (SELECT doc_id, token, k, n, {p} AS p FROM {words_} JOIN {shares} USING (token) {theta}))""",
+        f"""{prefix}_theta{n} AS MATERIALIZED (
+  SELECT doc_id, k, (sum(m) + 1.0 / {TOPIC_COUNT}) / (sum(sum(m)) OVER (PARTITION BY doc_id) + 1.0) AS theta
+  FROM {prefix}_dealt{n} GROUP BY doc_id, k)""",
+    ]
+
+
+def _topic_model(source: str) -> list[str]:
+    """The words of the documents, and their mass after the last round as ``mass``."""
+    parts = [
+        _topic_words("words_", source),
+        """ranked AS MATERIALIZED (
+  SELECT token, n, row_number() OVER (ORDER BY n DESC, token) - 1 AS idx
+  FROM (SELECT token, CAST(sum(n) AS BIGINT) AS n FROM words_ GROUP BY token))""",
+        f"""mass0 AS MATERIALIZED (
+  SELECT token, k, n * (0.1::DOUBLE + ((idx % 10007 + 1) * (2 * k + 1) * 7919 % 10007)::DOUBLE / 10007) AS mass
+  FROM ranked, range({TOPIC_COUNT}) topics(k))""",
+    ]
+    for n in range(1, ROUNDS + 1):
+        parts += [_topic_shares(f"share{n}", f"mass{n - 1}"), *_topic_round("fit", "words_", f"share{n}", n)]
+        parts.append(f"mass{n} AS MATERIALIZED (SELECT token, k, sum(m) AS mass FROM fit_dealt{n} GROUP BY token, k)")
+    return parts
+
+
+def _topic_thetas(prefix: str, source: str) -> list[str]:
+    """(id, year, theta) of documents whose words the model knows, as ``prefix``."""
+    parts = [_topic_words(f"{prefix}_words", source)]
+    for n in range(1, ROUNDS + 1):
+        parts += _topic_round(prefix, f"{prefix}_words", "share", n)
+    parts.append(f"""{prefix} AS MATERIALIZED (
+  SELECT doc_id AS id, any_value(year) AS year, list(round(theta, 6) ORDER BY k) AS theta
+  FROM {prefix}_theta{ROUNDS} JOIN {source} USING (doc_id) GROUP BY doc_id)""")
+    return parts
+
+
 ORACLE: dict[str, str] = {
     "word_count": f"SELECT token, count(*) AS n FROM (SELECT unnest({WORD_TOKENS}) AS token FROM documents) GROUP BY token",
     "dtm_token_counts": _with(VOCABULARY) + " SELECT token, n FROM counts",
@@ -165,9 +222,13 @@ ORACLE: dict[str, str] = {
     + r""", dated AS (
             SELECT doc_id, text, list_filter(regexp_extract_all(text, '[\p{L}\p{Nd}_]+'),
               lambda r: regexp_full_match(r, '[0-9]{4}') AND TRY_CAST(r AS INT) > 500 AND TRY_CAST(r AS INT) < 2200)[1] AS year
-            FROM articles)
-          SELECT year, 0 AS part, count(*) AS n_docs, string_agg(text, ' ' ORDER BY doc_id) AS text
-          FROM dated WHERE year IS NOT NULL GROUP BY year""",
+            FROM articles),
+          placed AS (
+            SELECT *, coalesce(sum(length(text) + 1) OVER (
+              PARTITION BY year ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+            FROM dated WHERE year IS NOT NULL)
+          SELECT year, CAST(before // 8192 AS INT) AS part, count(*) AS n_docs, string_agg(text, ' ' ORDER BY doc_id) AS text
+          FROM placed GROUP BY ALL""",
     "year_windows": _with(ARTICLES)
     + r""", split AS (SELECT doc_id, regexp_extract_all(text, '[^ \t\n\x0B\f\r]+') AS toks FROM articles),
           hits AS (
@@ -244,4 +305,26 @@ ORACLE: dict[str, str] = {
           SELECT year1, year2, ((year1 + year2) / 2 - 1800) * 6 AS cx, (year2 - year1) * 6 / 2 AS r,
             round(share * (0.01 - 3.0) + 3.0, 6) AS stroke_width, round(share * (0.01 - 0.5) + 0.5, 6) AS opacity
           FROM scaled""",
+    "lda_topics": _with(*_topic_model("documents"))
+    + f""", listed AS (
+            SELECT token, k, row_number() OVER (PARTITION BY k ORDER BY round(mass, 6) DESC, token) AS place FROM mass{ROUNDS}),
+          weights AS (SELECT k, sum(mass) / sum(sum(mass)) OVER () AS weight FROM mass{ROUNDS} GROUP BY k)
+          SELECT CAST(k AS INT) AS topic, round(any_value(weight), 6) AS weight, string_agg(token, ' ' ORDER BY place) AS words
+          FROM listed JOIN weights USING (k) WHERE place <= 19 GROUP BY k""",
+    "lda_nearest_year": _with(
+        PAGES,
+        f"""training AS (SELECT doc_id, {YEAR} AS year, text FROM documents WHERE {YEAR} BETWEEN 1700 AND 1911)""",
+        "unseen AS (SELECT page_id AS doc_id, 1700 + page_id % 212 AS year, content AS text FROM web)",
+        *_topic_model("training"),
+        _topic_shares("share", f"mass{ROUNDS}"),
+        *_topic_thetas("known", "training"),
+        *_topic_thetas("asked", "unseen"),
+    )
+    + f""", scored AS (
+            SELECT q.id, t.id AS train_id, t.year AS nearest_year, {_js('q.theta', 't.theta')} AS js
+            FROM asked q CROSS JOIN known t),
+          nearest AS (
+            SELECT *, row_number() OVER (PARTITION BY id ORDER BY js, train_id) AS place FROM scored)
+          SELECT doc_id, year AS actual_year, train_id, CAST(nearest_year AS INT) AS nearest_year, round(js, 6) AS js
+          FROM unseen LEFT JOIN (SELECT * FROM nearest WHERE place = 1) ON doc_id = id""",
 }

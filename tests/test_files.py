@@ -166,28 +166,40 @@ def test_nearest_years_job_and_model_cache(spark, tmp_path):
     options = {"k": 2, "iterations": 15}
     model = str(tmp_path / "model")
     got = jobs.nearest_years(spark, texts, listing, str(tmp_path / "dev"), model, **options).collect()
-    assert {r.title: (r.actual_year, r.nearest_year) for r in got} == {"sea": (1805, 1800), "land": (1905, 1900)}
+    assert {r.title: (r.actual_year, r.nearest_year) for r in got} == {
+        "sea": (1805, 1800), "land": (1905, 1900), "empty": (1850, None)
+    }
 
-    first = topic_model.TopicModel.load(model)
+    first = known_words(topic_model.TopicModel.load(spark, model))
     docs = spark.createDataFrame([(0, "other words here")], "doc_id long, text string")
-    kept = topic_model.load_or_train(docs, model, **options)
-    assert kept.vectors.vocabulary == first.vectors.vocabulary
+    assert known_words(topic_model.load_or_train(docs, model, **options)) == first
     again = topic_model.load_or_train(docs, model, reset=True, **options)
-    assert sorted(again.vectors.vocabulary) == ["here", "other", "words"]
+    assert known_words(again) == ["here", "other", "words"]
+
+
+def known_words(model):
+    return sorted(r.token for r in model.words.select("token").collect())
 
 
 def test_topic_model_shapes(spark):
     rows = [(i, line.split("\t")[1]) for i, line in enumerate(training_lines().splitlines())] + [(99, "1850 the")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     model = topic_model.train(docs, k=3, iterations=5)
-    assert model.vectors.vocabulary[:3] == sorted(model.vectors.vocabulary[:3])
+    total, mass = model.words.agg(F.sum("total"), F.sum(F.expr("aggregate(mass, 0D, (a, x) -> a + x)"))).first()
+    assert mass == pytest.approx(total)
     thetas = {r.doc_id: r.theta for r in model.thetas(docs).collect()}
     assert all(sum(t) == pytest.approx(1.0) for i, t in thetas.items() if i != 99)
-    unseen = spark.createDataFrame([(0, "zzz qqq")], "doc_id long, text string")
-    assert model.thetas(unseen).first().theta == [0.0] * 3
+    unseen = spark.createDataFrame([(0, "zzz qqq"), (1, None), (2, "")], "doc_id long, text string")
+    assert [r.theta for r in model.thetas(unseen, passes=2).collect()] == [[0.0] * 3] * 3
     listing = model.listing(4).orderBy("topic").collect()
     assert [r.topic for r in listing] == [0, 1, 2] and all(len(r.words.split()) == 4 for r in listing)
-    assert all(r.weight > 0 for r in listing)
+    assert all(r.weight > 0 for r in listing) and sum(r.weight for r in listing) == pytest.approx(1.0)
+
+
+def test_topic_model_without_words(spark):
+    docs = spark.createDataFrame([(0, "1850 the")], "doc_id long, text string")
+    model = topic_model.train(docs, k=3, iterations=2)
+    assert model.listing().collect() == [] and model.thetas(docs).first().theta == []
 
 
 def test_html_pages(spark):

@@ -49,18 +49,21 @@ def test_vocabulary_and_sparse_documents(spark):
         assert got == ["1900\t2 0:1 3:1", "1901\t3 0:1 1:1 2:1", "1902\t0 "]
 
 
-def test_frequency_rank_is_dense_whatever_the_bucket_size(spark):
+@pytest.mark.parametrize("partitions", ["1", "7", "40"])
+def test_frequency_rank_is_the_full_sort_over_any_number_of_partitions(spark, partitions):
     rng = random.Random(3)
     counts = [(f"t{i:04d}", rng.choice([1, 1, 1, 1, 2, 3, 9])) for i in range(500)]
-    df = spark.createDataFrame(counts, "token string, n long")
-    whole = sorted(counts, key=lambda c: (-c[1], c[0]))
-    got = words.frequency_rank(df).orderBy("idx").collect()
-    assert [(r.token, r.n) for r in got] == whole
+    rng.shuffle(counts)
+    df = spark.createDataFrame(counts, "token string, n long").repartition(5)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        got = words.frequency_rank(df).orderBy("idx").collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert [(r.token, r.n) for r in got] == sorted(counts, key=lambda c: (-c[1], c[0]))
     assert [r.idx for r in got] == list(range(500))
-    cut = words.frequency_rank(df, bucket_rows=20).orderBy("idx").collect()
-    assert [r.idx for r in cut] == list(range(500))
-    assert [r.n for r in cut] == [n for _, n in whole]
-    assert {r.token for r in cut} == {t for t, _ in counts}
+    assert words.frequency_rank(df.limit(0)).collect() == []
 
 
 def test_sparse_counts_add_up_with_a_hot_word(spark):
@@ -145,14 +148,16 @@ def test_concat_by_year(spark):
     assert pairs(years.concat_by_year(docs)) == [("1900", 0, 2, "a 1900 b 1900 1901")]
 
 
-def test_a_hot_year_is_whole_in_parts(spark):
+def test_a_hot_year_is_cut_by_the_length_before(spark):
     docs = texts(spark, *(f"doc{i} 1800" for i in range(200)), "x 1801")
-    got = years.concat_by_year(docs, part_chars=300).collect()
-    hot = [r for r in got if r.year == "1800"]
-    assert len(hot) > 3 and max(len(r.text) for r in hot) < 1500
-    found = [w for r in hot for w in r.text.split() if w != "1800"]
-    assert sorted(found) == sorted(f"doc{i}" for i in range(200))
-    assert [r.text for r in got if r.year == "1801"] == ["x 1801"]
+    ids = {r.text: r.doc_id for r in docs.collect()}
+    expected, length = {}, 0
+    for text in sorted((t for t in ids if t.endswith("1800")), key=ids.get):
+        expected.setdefault(length // 300, []).append(text)
+        length += len(text) + 1
+    got = {(r.year, r.part): r.text for r in years.concat_by_year(docs, part_chars=300).collect()}
+    assert got.pop(("1801", 0)) == "x 1801"
+    assert got == {("1800", part): " ".join(texts_) for part, texts_ in expected.items()} and len(got) > 3
 
 
 @pytest.mark.parametrize(
@@ -168,18 +173,16 @@ def test_year_windows_hand_cases(spark, text, window):
     assert [(r.year, r.text) for r in got] == [("1911", window)]
 
 
-def windows_model(text, margin):
-    tokens = [(m.start(), m.group()) for m in re.finditer(r"[^ \t\n\x0b\f\r]+", text)]
+def expected_windows(text, margin):
+    """Words left and right of each year, where a year inside a word leaves the word on the left."""
     found = []
-    for run in re.finditer(r"\w+", text):
-        if not re.fullmatch("[0-9]{4}", run.group()):
-            continue
-        at = next((i for i, t in enumerate(tokens) if t[0] >= run.start()), None)
-        if at is None:
-            kept = tokens[-2 * margin :]
-        else:
-            kept = tokens[max(at - margin, 0) : at] + tokens[at + 1 : at + margin]
-        found.append((run.group(), " ".join(t[1] for t in kept)))
+    for year in re.finditer(r"(?<!\w)[0-9]{4}(?!\w)", text):
+        cut = year.start()
+        if cut and not re.match(r"[ \t\n\x0b\f\r]", text[cut - 1]):
+            cut += len(re.match(r"[^ \t\n\x0b\f\r]+", text[cut:]).group())
+        left, right = (re.findall(r"[^ \t\n\x0b\f\r]+", side) for side in (text[:cut], text[cut:]))
+        words_ = left[-margin:] + right[1:margin] if right else left[-2 * margin :]
+        found.append((year.group(), " ".join(words_)))
     return found
 
 
@@ -195,7 +198,7 @@ def test_year_windows_against_a_model(spark, margin):
     for row in years.year_windows(texts(spark, *samples), ["doc_id"], margin=margin).orderBy("doc_id", "position").collect():
         got.setdefault(row.doc_id, []).append((row.year, row.text))
     for i, sample in enumerate(samples):
-        assert got.get(i, []) == windows_model(sample, margin), sample
+        assert got.get(i, []) == expected_windows(sample, margin), sample
 
 
 def test_first_year_against_a_model(spark):
