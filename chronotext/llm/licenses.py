@@ -79,8 +79,9 @@ def scan_licenses(docs: DataFrame, known: DataFrame) -> DataFrame:
     A null text has a null digest and no notices, an empty one the digest of no words. Repeated rows
     give one row each; rows with a null id stay. Other columns are not read.
     """
-    rows = docs.select("doc_id", "text").withColumn("row", F.monotonically_increasing_id())
-    lines = rows.select("row", "doc_id", F.posexplode_outer(F.split("text", "\n")).alias("line", "body"), digest(F.col("text")).alias("digest"))
+    # The digest of the whole text is made before its lines become rows, so once.
+    rows = docs.select("doc_id", "text", digest(F.col("text")).alias("digest")).withColumn("row", F.monotonically_increasing_id())
+    lines = rows.select("row", "doc_id", "digest", F.explode_outer(F.split("text", "\n")).alias("body"))
     lines = lines.select("row", "doc_id", "digest", digest(F.col("body")).alias("line_digest"))
     named = F.broadcast(known.select(F.col("digest").alias("line_digest"), F.col("license").alias("notice")))
     notices = lines.join(named, "line_digest", "left").groupBy("row").agg(
