@@ -24,9 +24,10 @@ BASE = (
 )
 _LONG_HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
 # Parts that are weak alone. An identifier, a secret and an endpoint complement each other.
-IDENTIFIER = re.compile(r"\b(?:user(?:name)?|login|account|client_?id|access_?key(?:_?id)?)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9_.@-]{3,64})", re.ASCII | re.IGNORECASE)
-ENDPOINT = re.compile(r"\b(?:https?|ftp|postgres(?:ql)?|mysql|redis|amqp)://[^\s\"'<>]{4,200}|\b(?:host|endpoint|server)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9.-]{4,100})", re.ASCII | re.IGNORECASE)
-WEAK_SECRET = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z0-9+/_-]*[0-9])(?=[A-Za-z0-9+/_-]*[A-Z])(?=[A-Za-z0-9+/_-]*[a-z])[A-Za-z0-9+/_-]{20,128}={0,2}(?![A-Za-z0-9+/_=-])", re.ASCII)
+# Names may have a prefix (DB_USER), but the name of a secret (SECRET_ACCESS_KEY) is no identifier; a secret may follow '='.
+IDENTIFIER = re.compile(r"(?<![A-Za-z0-9])(?:user(?:name)?|login|account|client_?id|(?<!secret_)access_?key(?:_?id)?)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9_.@-]{3,64})", re.ASCII | re.IGNORECASE)
+ENDPOINT = re.compile(r"(?<![A-Za-z0-9])(?:https?|ftp|postgres(?:ql)?|mysql|redis|amqp)://[^\s\"'<>]{4,200}|(?<![A-Za-z0-9])(?:host|endpoint|server)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9.-]{4,100})", re.ASCII | re.IGNORECASE)
+WEAK_SECRET = re.compile(r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z0-9+/_-]*[0-9])(?=[A-Za-z0-9+/_-]*[A-Z])(?=[A-Za-z0-9+/_-]*[a-z])[A-Za-z0-9+/_-]{20,128}={0,2}(?![A-Za-z0-9+/_=-])", re.ASCII)
 #: Parts belong together within a paragraph and this many characters.
 SCOPE_CHARS = 300
 KINDS = ("assign", "access", "hex", "identifier", "secret", "endpoint")

@@ -389,6 +389,21 @@ def test_weak_parts_need_a_partner():
         assert secrets.spans_of(text)[1] == spans_model(text)
 
 
+def test_secrets_directly_after_names_with_a_prefix():
+    key, secret = "AKIA" + "ABCDEFGHIJKLMNOP", "wJalrXUtnFEMI/K7MDENG/bPxRfiCYzEXAMPLEKEY"
+    cases = {
+        f"AWS_ACCESS_KEY_ID={key}\nAWS_SECRET_ACCESS_KEY={secret}": "access:18:38,secret:61:102",
+        f"DB_USER=bob\nX={secret}": "identifier:3:11,secret:14:55",
+        f"MYSQL_USER: bob {secret}": "identifier:6:15,secret:16:57",
+        f"AZURE_CLIENT_ID=abc-1\nK={secret}==": "identifier:6:21,secret:24:67",
+        f"DB_HOST=db1.local\nK='{secret}'": "endpoint:3:17,secret:21:62",
+        f"AWS_SECRET_ACCESS_KEY={secret}": "", f"K={secret}": "", "DB_USER=bob": "", f"user=bob {secret}=1": "", "superuser=bob " + secret: "",
+    }
+    for text, want in cases.items():
+        assert secrets.written(secrets.spans_of(text)[1]) == want, text
+    assert secrets.redact(next(iter(cases))) == "AWS_ACCESS_KEY_ID=[SECRET]\nAWS_SECRET_ACCESS_KEY=[SECRET]"
+
+
 def test_redaction(spark):
     docs = documents(spark, [(1, "a password=hunter22 b"), (2, None), (None, "token=" + "a" * 24), (3, "")])
     got = secrets.redact_secrets(docs)
