@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import sys
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
@@ -25,11 +26,11 @@ BASE = (
 _LONG_HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
 # Parts that are weak alone. An identifier, a secret and an endpoint complement each other.
 # Names may have a prefix (DB_USER), but the name of a secret (SECRET_ACCESS_KEY) is no identifier; a secret may follow '='.
-IDENTIFIER = re.compile(r"(?<![A-Za-z0-9])(?:user(?:name)?|login|account|client_?id|(?<!secret_)access_?key(?:_?id)?)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9_.@-]{3,64})", re.ASCII | re.IGNORECASE)
-ENDPOINT = re.compile(r"(?<![A-Za-z0-9])(?:https?|ftp|postgres(?:ql)?|mysql|redis|amqp)://[^\s\"'<>]{4,200}|(?<![A-Za-z0-9])(?:host|endpoint|server)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9.-]{4,100})", re.ASCII | re.IGNORECASE)
-WEAK_SECRET = re.compile(r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z0-9+/_-]*[0-9])(?=[A-Za-z0-9+/_-]*[A-Z])(?=[A-Za-z0-9+/_-]*[a-z])[A-Za-z0-9+/_-]{20,128}={0,2}(?![A-Za-z0-9+/_=-])", re.ASCII)
-#: Parts belong together within a paragraph and this many characters.
-SCOPE_CHARS = 300
+IDENTIFIER = re.compile(r"(?<![A-Za-z0-9])(?:user(?:name)?|login|account|client_?id|(?<!secret_)access_?key(?:_?id)?)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9_.@-]{3,})", re.ASCII | re.IGNORECASE)
+ENDPOINT = re.compile(r"(?<![A-Za-z0-9])(?:https?|ftp|postgres(?:ql)?|mysql|redis|amqp)://[^\s\"'<>]{4,}|(?<![A-Za-z0-9])(?:host|endpoint|server)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9.-]{4,})", re.ASCII | re.IGNORECASE)
+WEAK_SECRET = re.compile(r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z0-9+/_-]*[0-9])(?=[A-Za-z0-9+/_-]*[A-Z])(?=[A-Za-z0-9+/_-]*[a-z])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/_=-])", re.ASCII)
+#: Parts belong together within a paragraph, however far apart they stand in it.
+SCOPE_CHARS = sys.maxsize
 KINDS = ("assign", "access", "hex", "identifier", "secret", "endpoint")
 SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
 
@@ -51,7 +52,10 @@ def _scopes(text: str) -> list[int]:
 
 
 def linked_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """Weak parts that a complementary part stands beside, in one paragraph and SCOPE_CHARS.
+    """Weak parts that a complementary part stands beside, in one paragraph.
+
+    A weak part whose value lies inside certain spans says nothing new and is left out; one that goes
+    beyond them, such as a URL with a key in it, stays whole.
 
     The parts are intervals; for each, the sorted starts of the parts of another role are searched
     for the nearest ones, so the join takes n log n steps however many parts a text has.
@@ -60,24 +64,26 @@ def linked_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int,
     for number, pattern in ((3, IDENTIFIER), (4, WEAK_SECRET), (5, ENDPOINT)):
         if number == 4 and not _may_hold_secret(text):
             continue
-        weak += [(m.start(), number, m.end()) for m in pattern.finditer(text)]
+        # The value is the group, or all of a match without one.
+        weak += [(m.start(), number, m.end(), m.start(m.lastindex or 0)) for m in pattern.finditer(text)]
     if not weak:
         return []
-    covered = sorted((start, end) for start, _, end in base)
+    covered: list[list[int]] = []
+    for start, _, end in base:
+        if covered and start <= covered[-1][1]:
+            covered[-1][1] = max(covered[-1][1], end)
+        else:
+            covered.append([start, end])
     starts = [c[0] for c in covered]
-    furthest, reach = [], 0
-    for _, end in covered:
-        reach = max(reach, end)
-        furthest.append(reach)
 
     def known(start, end):
-        before = bisect_left(starts, end)
-        return before and furthest[before - 1] > start
+        before = bisect_right(starts, start)
+        return before and covered[before - 1][1] >= end
 
     roles: dict[str, list[tuple[int, int]]] = {"identifier": [], "secret": [], "endpoint": []}
     for start, number, end in base:
         roles["identifier" if number == 1 else "secret"].append((start, end))
-    weak = [w for w in weak if not known(w[0], w[2])]
+    weak = [(start, number, end) for start, number, end, value in weak if not known(value, end)]
     for start, number, end in weak:
         roles[KINDS[number]].append((start, end))
     indexed = {}

@@ -404,6 +404,21 @@ def test_secrets_directly_after_names_with_a_prefix():
     assert secrets.redact(next(iter(cases))) == "AWS_ACCESS_KEY_ID=[SECRET]\nAWS_SECRET_ACCESS_KEY=[SECRET]"
 
 
+def test_secret_parts_of_any_length_and_distance():
+    secret = "Ab3dEf6hIj9lMn2pQr5tUv"
+    far = "user=bob" + " word" * 2000 + "\n" + secret
+    assert secrets.written(secrets.spans_of(far)[1]) == "identifier:0:8,secret:10009:10031"
+    assert secrets.spans_of(far.replace("\n", "\n\n"))[1] == []
+    for n in (128, 129, 130, 5000):
+        assert secrets.written(secrets.spans_of("user=bob " + (secret * n)[:n] + " x")[1]) == f"identifier:0:8,secret:9:{9 + n}"
+    url = "https://host.example.org/" + "path/" * 60 + "?sig=" + secret + "%2F" + secret + "%3D"
+    assert secrets.redact(f"see {url} there") == "see [SECRET] there"
+    assert secrets.redact(f"login={'ab.' * 40}c {secret} x") == "[SECRET] [SECRET] x"
+    # A certain span inside a URL does not keep the rest of it.
+    assert secrets.redact(f"{url}&token=abcdef {secret}") == "[SECRET] [SECRET]"
+    assert secrets.redact("https://" + "a" * 300 + "/?k=" + "0123456789abcdef" * 2 + "&s=x%2Fy .") == "[SECRET] ."
+
+
 def test_redaction(spark):
     docs = documents(spark, [(1, "a password=hunter22 b"), (2, None), (None, "token=" + "a" * 24), (3, "")])
     got = secrets.redact_secrets(docs)
