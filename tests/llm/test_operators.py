@@ -180,6 +180,29 @@ def test_embeddings_recall_at_the_threshold():
     assert len(rows) < 0.7 * len(x) * len(index.books[0]) * len(index.books[1])
 
 
+def flat_vectors(rng, n, within):
+    """Clustered vectors of 64 dimensions that lie near ``within`` of them."""
+    plane = rng.standard_normal((within, 64))
+    return embeddings._directions(rng.standard_normal((n, within)) @ plane + 0.02 * rng.standard_normal((n, 64)))
+
+
+@pytest.mark.parametrize("within", [2, 3, 6])
+def test_embeddings_recall_of_real_neighbours(within):
+    x = flat_vectors(np.random.default_rng(within), 1500, within)
+    index = embeddings.MultiIndex(x, 0.93)
+    visited = np.zeros((len(x), len(index.books[0]) * len(index.books[1])), dtype=bool)
+    visited[index.visits(x)] = True
+    met = visited[:, index.cell(x)]
+    assert (met | met.T)[x @ x.T >= 0.93].all()
+
+
+@pytest.mark.parametrize("block", [16, 1024])
+def test_flat_embeddings_equal_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(embeddings, "BLOCK", block)
+    rows = [(i, v.tolist(), i % 2) for i, v in enumerate(flat_vectors(np.random.default_rng(8), 400, 6))]
+    assert {tuple(r) for r in embeddings.near_duplicates(vectors(spark, rows)).collect()} == embedding_model(rows)
+
+
 def test_embeddings_of_nothing(spark):
     assert embeddings.near_duplicates(vectors(spark, [])).count() == 0
     assert [tuple(r) for r in embeddings.near_duplicates(vectors(spark, [(4, [1.0, 2.0], 1)])).collect()] == [(4, 0, 4, True)]
