@@ -44,11 +44,18 @@ SPELLINGS = (
     (r"\bv(er)? ?([0-9])", "version {2}"),
     (r"\bgnu gpl\b", "gnu general public license"),
 )
-COPYRIGHT_LINE = r"(^|\n)[^\n]*(?:copyright|\(c\)|©)[^\n]*[0-9]{4}[^\n]*"
+# A copyright statement in lower case: mark, holder, year, and on to the end of the sentence or line. Initials, and
+# words such as "and" after "inc.", do not end it. The group is what follows the sentence and stays. No look-around,
+# so that SQL engines can use it.
+COPYRIGHT_LINE = (
+    r"(?:copyright|\(c\)|©)(?:[^\n.]*(?:[^\p{L}\p{N}\n][a-z]|inc|corp|ltd|llc|co|dr|jr)\.){0,20}?[^\n.]*?[0-9]{4}"
+    r"(?:(?:[^\n]*?[\p{L}\p{N})\]>\"][\p{L}\p{N})\]>\"])??\.([ \t]+(?:[^aeoh&<(\n \t]|a[^nl\n]|an[^d\n]|al[^l\n]|all[^ \n]|all [^r\n]|e[^t\n]|o[^r\n]|h[^t\n]))"
+    r"|[^\n]*(?:[^\p{L}\p{N}]*all rights reserved\.?)?)"
+)
 
 
 def canonical(text: Column) -> Column:
-    """Lower case, no dated copyright lines, letters and digits only, one spelling for equal words."""
+    """Lower case, no dated copyright statements, letters and digits only, one spelling for equal words."""
     text = F.regexp_replace(F.lower(text), COPYRIGHT_LINE, "$1")
     text = F.trim(F.regexp_replace(text, r"[^\p{L}\p{N}]+", " "))
     for pattern, to in SPELLINGS:

@@ -226,6 +226,25 @@ def test_licenses(spark):
     assert licenses.scan_licenses(documents(spark, []), licenses.known_digests(spark)).count() == 0
 
 
+def test_only_copyright_statements_are_left_out(spark):
+    cases = [
+        ("Copyright 2020 Ann. Licensed under the Apache License, Version 2.0.", "licensed under the apache license version 2 0"),
+        ("Copyright 2020. Released under the MIT License.", "released under the mit license"),
+        ("(c) 2019-2020 J. R. Doe, Foo Inc. and others. Plain text.", "plain text"),
+        ("Copyright (c) A. Nobody, 2020\nAll rights reserved.\n\nRedistribution", "redistribution"),
+        ("© 2020 Foo Inc. All rights reserved. Use it.", "use it"),
+        ("x\n * Copyright 2020 Foo\ny", "x y"),
+        ("the copyright notice. " + "word " * 9000 + "1999 end.", "the copyright notice " + "word " * 9000 + "1999 end"),
+        ("Copyright 2020 Ann. " + "a.b. " * 9000 + "end", ("a b " * 9000 + "end")),
+    ]
+    docs = documents(spark, [(i, text) for i, (text, _) in enumerate(cases)])
+    got = dict(docs.select("doc_id", licenses.canonical(F.col("text"))).collect())
+    for i, (text, want) in enumerate(cases):
+        assert got[i] == want, text[:60]
+    found = licenses.scan_licenses(docs, licenses.known_digests(spark)).where("doc_id < 2").collect()
+    assert {r["doc_id"]: r["license"] for r in found} == {0: "Apache-2.0", 1: "MIT"}
+
+
 def test_urls(spark):
     listed = inline(spark, ["host", "path", "verdict"], [("org", "/", "allow"), ("a.org", "/x", "block"), ("a.org", "/xy", "allow"), ("com", "", "block")])
     cases = {
