@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import re
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from chronotext.llm.common import inline
 
 # Public licence texts and the notices by which works name their licence.
-KNOWN = (
+_SHORT = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
@@ -36,6 +39,57 @@ ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFT
     ),
 )
 
+_CONDITIONS = """Redistribution and use in source and binary forms, with or without modification, are permitted provided
+that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice,
+this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above
+copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials
+provided with the distribution. """
+_NO_NAMES = """3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or
+promote products derived from this software without specific prior written permission. """
+_AS_IS = """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED
+WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR
+PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT,
+INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE
+GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF
+LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT
+OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+_BODIES = {
+    "MIT": _SHORT[4][1],
+    "0BSD": _SHORT[5][1],
+    "ISC": _SHORT[5][1].replace("granted.", "granted, provided that the above copyright notice and this permission notice appear in all copies.", 1),
+    "BSD-2-Clause": _CONDITIONS + _AS_IS,
+    "BSD-3-Clause": _CONDITIONS + _NO_NAMES + _AS_IS,
+}
+_TITLES = {
+    "MIT": ("MIT License", "The MIT License", "The MIT License (MIT)"),
+    "0BSD": ("BSD Zero Clause License", "Zero-Clause BSD", "BSD-0-Clause"),
+    "ISC": ("ISC License", "The ISC License"),
+    "BSD-2-Clause": ("BSD 2-Clause License", "The 2-Clause BSD License"),
+    "BSD-3-Clause": ("BSD 3-Clause License", "The 3-Clause BSD License"),
+}
+_FILES = {
+    "Apache-2.0": "Apache-2.0", "GPL-2.0": "GPL-2", "GPL-3.0": "GPL-3", "LGPL-2.1": "LGPL-2.1",
+    "LGPL-3.0": "LGPL-3", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0",
+}
+
+
+def _forms(text: str) -> list[str]:
+    """A text with and without its title, and each without what follows its terms."""
+    whole = [text, re.split(r"\n[ \t]*\n", text.strip(), maxsplit=1)[-1]]
+    terms = [re.sub(r"(END OF TERMS AND CONDITIONS).*", end, t, flags=re.DOTALL) for t in whole for end in (r"\1", "")]
+    return list(dict.fromkeys(whole + terms))
+
+
+def _known():
+    for name, body in _BODIES.items():
+        yield from ((name, text) for text in (body, *(f"{title}\n\n{body}" for title in _TITLES[name])))
+    for name, file in _FILES.items():
+        text = (Path(__file__).parent / "known_licenses" / f"{file}.txt").read_text(encoding="utf-8")
+        yield from ((name, form) for form in _forms(text))
+
+
+KNOWN = (*_SHORT[:4], *_known())
+
 # Fixed values: (pattern, replacement) for spellings that mean the same, on canonical words.
 SPELLINGS = (
     (r"\b(sub)?licenc(e|ed|ee|es|ing|or)\b", "{1}licens{2}"),

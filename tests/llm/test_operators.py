@@ -245,6 +245,25 @@ def test_only_copyright_statements_are_left_out(spark):
     assert {r["doc_id"]: r["license"] for r in found} == {0: "Apache-2.0", 1: "MIT"}
 
 
+def test_whole_licences_with_and_without_title(spark):
+    mit = next(b for name, b in licenses.KNOWN if name == "MIT" and b.startswith("Permission"))
+    bsd = licenses._BODIES["BSD-3-Clause"]
+    folder = licenses.Path(licenses.__file__).parent / "known_licenses"
+    files = {name: (folder / f"{file}.txt").read_text() for name, file in licenses._FILES.items()}
+    cases = [
+        ("MIT", "MIT License\n\nCopyright (c) 2021 A. Nobody\n\n" + mit), ("MIT", mit),
+        ("BSD-3-Clause", "BSD 3-Clause License\n\nCopyright (c) 2021, Foo Inc.\nAll rights reserved.\n\n" + bsd),
+        ("ISC", "ISC License\n\nCopyright 2020 Foo\n\n" + licenses._BODIES["ISC"]),
+        *files.items(),
+        ("GPL-3.0", files["GPL-3.0"].split("Version 3, 29 June 2007", 1)[1]),
+        ("Apache-2.0", files["Apache-2.0"].split("APPENDIX:")[0]),
+        (None, files["GPL-3.0"][:5000]),
+    ]
+    docs = documents(spark, [(i, text) for i, (_, text) in enumerate(cases)])
+    found = dict(licenses.scan_licenses(docs, licenses.known_digests(spark)).select("doc_id", "license").collect())
+    assert [found[i] for i in range(len(cases))] == [name for name, _ in cases]
+
+
 def test_urls(spark):
     listed = inline(spark, ["host", "path", "verdict"], [("org", "/", "allow"), ("a.org", "/x", "block"), ("a.org", "/xy", "allow"), ("com", "", "block")])
     cases = {
