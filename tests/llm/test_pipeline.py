@@ -12,7 +12,7 @@ from chronotext.llm import packing, toxicity
 from chronotext.llm.common import table
 
 sys.path.insert(0, str(Path(__file__).parent))
-from test_operators import minhash_model, spans_model, words_of  # noqa: E402
+from test_llm_operators import minhash_model, spans_model, words_of  # noqa: E402
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 KEY = "AKIA" + "ABCDEFGHIJKLMNOP"
