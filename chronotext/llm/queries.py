@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from chronotext.llm import bpe, embeddings, licenses, minhash, packing, secrets, substrings, topk, toxicity, urls
+from chronotext.llm import bpe, collocations, embeddings, licenses, minhash, packing, secrets, substrings, topk, toxicity, urls
 from chronotext.llm.common import inline, table
 
 #: (host, path, verdict)
@@ -60,11 +60,15 @@ def op10_secret_scan(spark, folder):
     return secrets.scan_secrets(table(spark, folder, "documents"))
 
 
+def op11_phrase_collocations(spark, folder):
+    return collocations.collocations(table(spark, folder, "documents"))
+
+
 QUERIES = {
     query.__name__: query
     for query in (
         op1_minhash_near_duplicates, op2_exact_top_k, op3_license_scan, op4_url_filter, op5_embedding_near_duplicates,
-        op6_bpe_round_trip, op7_toxicity, op8_packing, op9_substring_dedup, op10_secret_scan,
+        op6_bpe_round_trip, op7_toxicity, op8_packing, op9_substring_dedup, op10_secret_scan, op11_phrase_collocations,
     )
 }
 
@@ -85,6 +89,8 @@ _KNOWN = ", ".join("('{}', '{}')".format(name, body.replace("'", "''")) for name
 
 _WORDS = "list_filter(regexp_split_to_array({}, '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')"
 
+_FOLD = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
 ORACLE = {
     "op1_minhash_near_duplicates": f"""
         WITH RECURSIVE words AS (SELECT doc_id, {_WORDS.format("translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS w
@@ -151,4 +157,25 @@ ORACLE = {
         counts AS (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a)
         SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept
         FROM roots LEFT JOIN counts USING (vec_id)""",
+    "op11_phrase_collocations": f"""
+        WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_FOLD}, '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+        words AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\\x20\\x09]+'), lambda w: w <> '') AS w FROM pieces),
+        grams AS (SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS phrase
+                  FROM words, range(1, 6) t(k)),
+        f AS MATERIALIZED (SELECT lang, k, phrase, count(*) AS f FROM grams GROUP BY ALL HAVING count(*) >= 100),
+        n AS (SELECT lang, sum(len(w)) AS n FROM words GROUP BY lang),
+        longer AS (SELECT lang, array_to_string(string_split(phrase, ' ')[i:i + m - 1], ' ') AS phrase, max(f) AS f
+                   FROM f, range(2, 5) s(m), range(1, 5) t(i) WHERE k > m AND i + m - 1 <= k GROUP BY ALL),
+        cuts AS (SELECT c.lang, c.phrase, c.f AS a, i, array_to_string(string_split(c.phrase, ' ')[:i], ' ') AS first,
+                        array_to_string(string_split(c.phrase, ' ')[i + 1:], ' ') AS rest
+                 FROM f c LEFT JOIN longer USING (lang, phrase), range(1, 5) t(i)
+                 WHERE c.k > 1 AND i < c.k AND coalesce(100 * longer.f < 100 * c.f, true)),
+        scored AS (SELECT cuts.lang, cuts.phrase, i, a, x.f AS l, y.f AS r, n,
+                          CAST(1000 AS HUGEINT) * a * CAST(n AS HUGEINT) // (CAST(x.f AS HUGEINT) * y.f) AS score
+                   FROM cuts JOIN f x ON x.lang = cuts.lang AND x.phrase = first JOIN f y ON y.lang = cuts.lang AND y.phrase = rest
+                   JOIN n ON n.lang = cuts.lang),
+        best AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, i) AS place FROM scored),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM best WHERE place = 1)
+        SELECT lang, rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, CAST(n AS BIGINT) AS n,
+               CAST(score AS BIGINT) AS score FROM ranked WHERE rank <= 2000""",
 }
