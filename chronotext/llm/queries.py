@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from chronotext.llm import bpe, collocations, embeddings, licenses, minhash, packing, secrets, substrings, topk, toxicity, urls
+from chronotext.llm import bpe, collocations, embeddings, licenses, minhash, packing, periodic, secrets, substrings, topk, toxicity, urls
 from chronotext.llm.common import inline, table
 
 #: (host, path, verdict)
@@ -64,11 +64,37 @@ def op11_phrase_collocations(spark, folder):
     return collocations.collocations(table(spark, folder, "documents"))
 
 
+def plant_periods(docs):
+    """(doc_id, text): texts whose id has a checksum that ends in 0 go on with a period from some word on."""
+    words = F.filter(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    check = F.crc32(F.col("doc_id").cast("string"))
+    planted = F.array_join(
+        F.expr("concat(slice(w, 1, int(a)), transform(sequence(a, n - 1), i -> w[int(a + (i - a) % p)]))"), " "
+    )
+    chosen = docs.where((check % 10 == 0) & F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]"))
+    sized = chosen.select("doc_id", words.alias("w"), F.floor(check / 10).alias("g"))
+    sized = sized.withColumn("n", F.size("w").cast("long")).withColumn("a", F.expr("g % n"))
+    sized = sized.withColumn("p", F.expr("1 + (n - a) div (3 + g % 8)"))
+    rest = docs.where(~F.coalesce((check % 10 == 0) & F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]"), F.lit(False)))
+    return sized.select("doc_id", planted.alias("text")).unionByName(rest.select("doc_id", "text"))
+
+
+def op12_periodic_runs(spark, folder):
+    found = periodic.periodic_runs(plant_periods(table(spark, folder, "documents")))
+    line = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    best = periodic.longest_run("runs")
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), best["start"].alias("start"), best["length"].alias("length"),
+        best["period"].alias("period"), F.expr("1000 * length div period").alias("exponent_milli"),
+        F.sha2(F.array_join(line, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES = {
     query.__name__: query
     for query in (
         op1_minhash_near_duplicates, op2_exact_top_k, op3_license_scan, op4_url_filter, op5_embedding_near_duplicates,
-        op6_bpe_round_trip, op7_toxicity, op8_packing, op9_substring_dedup, op10_secret_scan, op11_phrase_collocations,
+        op6_bpe_round_trip, op7_toxicity, op8_packing, op9_substring_dedup, op10_secret_scan, op11_phrase_collocations, op12_periodic_runs,
     )
 }
 
@@ -91,6 +117,11 @@ _WORDS = "list_filter(regexp_split_to_array({}, '[\\x20\\x09-\\x0D]+'), lambda w
 
 _FOLD = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+#: CRC-32 of the digits of an id, bit by bit: -1 is a shift, other items are bytes.
+_CHECKSUM = """xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), flatten(list_transform(
+    string_split(CAST(doc_id AS VARCHAR), ''), lambda c: [CAST(ascii(c) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))),
+    lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) ELSE xor(c >> 1, CASE WHEN c % 2 = 1 THEN 3988292384 ELSE 0 END) END))"""
+
 ORACLE = {
     "op1_minhash_near_duplicates": f"""
         WITH RECURSIVE words AS (SELECT doc_id, {_WORDS.format("translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS w
@@ -178,4 +209,26 @@ ORACLE = {
         ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM best WHERE place = 1)
         SELECT lang, rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, CAST(n AS BIGINT) AS n,
                CAST(score AS BIGINT) AS score FROM ranked WHERE rank <= 2000""",
+    "op12_periodic_runs": f"""
+        WITH texts AS (SELECT doc_id, {_WORDS.format("coalesce(text, '')")} AS v, {_CHECKSUM} AS h FROM documents),
+        sized AS (SELECT *, len(v) AS n, CASE WHEN h % 10 = 0 AND len(v) > 0 THEN (h // 10) % len(v) END AS a FROM texts),
+        planted AS (SELECT *, 1 + (n - a) // (3 + (h // 10) % 8) AS p FROM sized),
+        docs AS MATERIALIZED (SELECT doc_id, n, CASE WHEN a IS NULL THEN v ELSE list_transform(range(n), lambda i: CASE WHEN i < a THEN v[i + 1] ELSE v[a + (i - a) % p + 1] END) END AS w
+                 FROM planted),
+        words AS MATERIALIZED (SELECT doc_id, n, unnest(range(n)) AS i, unnest(w) AS word FROM docs),
+        -- Stretches of places whose words a period on are the same.
+        pairs AS (SELECT x.doc_id, y.i - x.i AS q, x.i FROM words x JOIN words y
+                  ON x.doc_id = y.doc_id AND x.word = y.word AND x.i < y.i AND 2 * (y.i - x.i) <= x.n),
+        ranked AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS stretch FROM pairs),
+        long AS (SELECT doc_id, q, min(i) AS start, count(*) + q AS length FROM ranked GROUP BY doc_id, q, stretch
+                 HAVING count(*) >= q AND count(*) + q >= 12),
+        runs AS MATERIALIZED (SELECT doc_id, start, length, min(q) AS period FROM long GROUP BY ALL),
+        best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY length DESC, start, period) AS place FROM runs) WHERE place = 1),
+        digests AS (SELECT doc_id, count(*) AS n_runs, sha256(string_agg(concat(start, ',', length, ',', period, chr(10)), '' ORDER BY start, period)) AS d
+                    FROM runs GROUP BY doc_id),
+        gone AS (SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM runs),
+        kept AS (SELECT doc_id, sha256(string_agg(word, ' ' ORDER BY i)) AS d FROM words ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+        SELECT doc_id, coalesce(n_runs, 0) AS n_runs, start, length, period, 1000 * length // period AS exponent_milli,
+               coalesce(digests.d, sha256('')) AS runs_sha256, coalesce(kept.d, sha256('')) AS collapsed_sha256
+        FROM docs LEFT JOIN best USING (doc_id) LEFT JOIN digests USING (doc_id) LEFT JOIN kept USING (doc_id)""",
 }
