@@ -1,4 +1,10 @@
-"""Operators that prepare text and vectors for training corpora, and their registered queries.
+"""Operators for training corpora; nothing else in the library imports this package.
 
-Nothing else in the library imports this package.
+Their functions travel with the tasks, so that executors need not have the package.
 """
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from chronotext.llm import bpe, collocations, embeddings, licenses, minhash, packing, periodic, secrets, substrings, topk, toxicity, urls
+from chronotext.llm import bpe, collocations, embeddings, licenses, minhash, mixing, packing, periodic, secrets, substrings, topk, toxicity, urls
 from chronotext.llm.common import inline, table
 
 #: (host, path, verdict)
@@ -90,11 +90,15 @@ def op12_periodic_runs(spark, folder):
     )
 
 
+def op13_context_mixing(spark, folder):
+    return mixing.score_texts(table(spark, folder, "documents"))
+
+
 QUERIES = {
     query.__name__: query
     for query in (
         op1_minhash_near_duplicates, op2_exact_top_k, op3_license_scan, op4_url_filter, op5_embedding_near_duplicates,
-        op6_bpe_round_trip, op7_toxicity, op8_packing, op9_substring_dedup, op10_secret_scan, op11_phrase_collocations, op12_periodic_runs,
+        op6_bpe_round_trip, op7_toxicity, op8_packing, op9_substring_dedup, op10_secret_scan, op11_phrase_collocations, op12_periodic_runs, op13_context_mixing,
     )
 }
 
