@@ -44,6 +44,20 @@ def texts(docs: DataFrame) -> DataFrame:
     return named.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
 
 
+def with_text(batch: pa.RecordBatch, text: list) -> pa.RecordBatch:
+    """``batch`` with other texts; its other columns stay as they are, whatever their types and nulls."""
+    at = batch.schema.get_field_index("text")
+    return batch.set_column(at, batch.schema.field(at), pa.array(text, batch.schema.field(at).type))
+
+
+def unused(name: str, columns: list[str]) -> str:
+    """``name``, made longer until it is none of ``columns``, which Spark compares without case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def join_small(left: DataFrame, right: DataFrame, on, how: str = "inner") -> DataFrame:
     """Join with a materialised ``right``: broadcast if its measured size allows, else a shuffle.
 

@@ -71,6 +71,16 @@ def signatures(shingles: np.ndarray, bounds: np.ndarray, coordinates: int = COOR
     return out
 
 
+def _sums(shingles: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Two sums over each set, which tell it from others, in any order; 0 for an empty one."""
+    some = np.diff(bounds) > 0
+    sums = np.zeros((2, len(some)), np.uint64)
+    if some.any():
+        for i, salt in enumerate((0, 0x5851F42D4C957F2D)):
+            sums[i, some] = np.add.reduceat(mix(shingles ^ np.uint64(salt)), bounds[:-1][some])
+    return sums
+
+
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for low, high, data, offsets in slices(batch.column(1)):
@@ -78,11 +88,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n = np.diff(bounds)
             some = n > 0
             edges = np.concatenate([bounds[:-1][some], bounds[-1:]])
-            # Two sums over a set tell it from others, in any order.
-            sums = np.zeros((2, len(n)), np.uint64)
-            if some.any():
-                for i, salt in enumerate((0, 0x5851F42D4C957F2D)):
-                    sums[i, some] = np.add.reduceat(mix(shingles ^ np.uint64(salt)), edges[:-1])
+            sums = _sums(shingles, bounds)
             signed = signatures(shingles, edges)
             places = np.concatenate([[0], np.cumsum(some)]) * COORDINATES
             yield pa.RecordBatch.from_arrays(
@@ -100,9 +106,15 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for low, high, data, offsets in slices(batch.column(1)):
             shingles, bounds = shingle_sets(data, offsets)
-            sketch = signatures(shingles, bounds, SKETCH, np.uint8)  # listed texts have a shingle each
-            rows = binaries(sketch.reshape(-1), np.arange(high - low + 1) * SKETCH)
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), binaries(shingles, bounds), rows], ["id", "shingles", "sketch"])
+            n, sums = np.diff(bounds), _sums(shingles, bounds)
+            some = n > 0
+            bounds = np.append(bounds[:-1][some], bounds[-1])
+            sketch = signatures(shingles, bounds, SKETCH, np.uint8)
+            rows = binaries(sketch.reshape(-1), np.arange(len(bounds)) * SKETCH)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(n[some]), *[pa.array(s[some].view(np.int64)) for s in sums], binaries(shingles, bounds), rows],
+                ["n_shingles", "sum1", "sum2", "shingles", "sketch"],
+            )
 
 
 def _compare(percent: int):
@@ -168,15 +180,17 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     Lists of copies thus give one pair per member, and only likely pairs are ever written as rows.
 
     Null, empty and wordless texts have 0 shingles, their own component, and no link. Repeated rows
-    give one row each. Rows with a null id are left out; other columns are not read.
+    give one row each; rows of one id with different texts are judged each by its own text. Rows with a null id are left out; other columns are not read.
     """
     docs = texts(docs)
     signed = materialize(docs.mapInArrow(_sign, "doc_id long, n_shingles long, sum1 long, sum2 long, signature array<long>"))
     key = ["n_shingles", "sum1", "sum2"]
-    classes = materialize(signed.where("n_shingles > 0").groupBy(*key).agg(F.min("doc_id").alias("id")))
-    ids = classes.select(F.col("id").alias("doc_id"))
+    class_id = F.xxhash64(*key).alias("id")
+    classes = materialize(signed.where("n_shingles > 0").groupBy(*key).agg(F.min("doc_id").alias("least")).select("*", class_id))
+    ids = classes.select(F.col("least").alias("doc_id"))
     first = signed.join(ids, "doc_id", "left_semi").where("n_shingles > 0")
-    first = materialize(first.groupBy(F.col("doc_id").alias("id")).agg(F.max(F.struct("n_shingles", "signature")).alias("s")).select("id", "s.*"))
+    # Rows of one class have equal signatures, so it does not matter which is taken.
+    first = materialize(first.groupBy(class_id).agg(F.max(F.struct("n_shingles", "signature")).alias("s")).select("id", "s.*"))
     tokens = first.select("id", F.explode("signature").alias("token"))
     frequent = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     listed = tokens.join(frequent, "token").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("n", "token")))["token"].alias("tokens"))
@@ -184,9 +198,10 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     prefix = F.slice("tokens", F.lit(1), F.size("tokens") - F.lit(matches - 1))
     prefixes = materialize(listed.where(F.size("tokens") >= matches).select("id", prefix.alias("prefix")))
     posts = prefixes.select("id", F.explode("prefix").alias("token"))
-    members = prefixes.select(F.col("id").alias("doc_id"))
-    sets = materialize(join_small(docs, members, "doc_id", "left_semi").mapInArrow(_sets, "id long, shingles binary, sketch binary"))
-    sets = sets.dropDuplicates(["id"])
+    members = materialize(classes.join(prefixes, "id", "left_semi").select(F.col("least").alias("doc_id")))
+    sets = join_small(docs, members, "doc_id", "left_semi").mapInArrow(_sets, "n_shingles long, sum1 long, sum2 long, shingles binary, sketch binary")
+    # A repeated id brings other texts along; of those with one set any will do.
+    sets = materialize(sets.select(class_id, "shingles", "sketch")).dropDuplicates(["id"])
     hubs = posts.groupBy("token").agg(F.min("id").alias("a"))
     pairs = posts.join(hubs, "token").where(F.col("a") < F.col("id")).select("a", F.col("id").alias("b")).distinct()
     links = materialize(_verify(pairs, first, sets, percent))
@@ -207,7 +222,9 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     rest = dealt.groupBy("token", "i", "j").applyInArrow(_compare(percent), "a long, b long").distinct()
     more = materialize(_confirmed(rest, sets, percent))
     roots = connected_components(links.unionByName(more).select(F.col("a").alias("u"), F.col("b").alias("v")))
-    classes = materialize(classes.join(roots, F.col("id") == F.col("node"), "left").select(*key, F.coalesce("component", "id").alias("component")))
+    classes = materialize(classes.join(roots, F.col("id") == F.col("node"), "left").select(*key, "least", F.coalesce("component", "id").alias("part")))
+    lows = classes.groupBy("part").agg(F.min("least").alias("component"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    classes = materialize(join_small(classes, materialize(lows), "part", "left").select(*key, F.coalesce("component", "least").alias("component")))
     out = signed.select("doc_id", *key).join(classes, key, "left")
     component = F.coalesce("component", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), (component == F.col("doc_id")).alias("kept"))

@@ -9,9 +9,10 @@ from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from chronotext.llm.common import small_batches, texts
+from chronotext.llm.common import small_batches, texts, with_text
 
 # The certain patterns, in the order in which equal starts are listed.
 BASE = (
@@ -145,10 +146,9 @@ def scan_secrets(docs: DataFrame) -> DataFrame:
     return texts(docs).mapInPandas(_scan, SCHEMA)
 
 
-def _redact(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _redact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        batch["text"] = [None if text is None else redact(text) for text in batch["text"]]
-        yield batch
+        yield with_text(batch, [None if text is None else redact(text) for text in batch.column("text").to_pylist()])
 
 
 def redact(text: str) -> str:
@@ -168,5 +168,5 @@ def redact(text: str) -> str:
 
 
 def redact_secrets(docs: DataFrame) -> DataFrame:
-    """``docs`` with the secrets of ``text`` replaced; all rows and columns stay."""
-    return small_batches(docs).mapInPandas(_redact, docs.schema)
+    """``docs`` with the secrets of ``text`` replaced; all rows and other columns stay as they are."""
+    return small_batches(docs).mapInArrow(_redact, docs.schema)

@@ -10,7 +10,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from chronotext.llm.common import join_small, slices, small_batches, texts
+from chronotext.llm.common import join_small, slices, small_batches, texts, unused, with_text
 from chronotext.llm.fmindex import FMIndex, repeated_windows
 from chronotext.llm.hashing import inside, runs, sequences, word_hashes, word_places
 from chronotext.session import materialize
@@ -218,11 +218,13 @@ def _report(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
 
-def _cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts without the words of the spans in the last column, which goes."""
     for batch in batches:
-        spans = batch.pop("_spans")
-        batch["text"] = [text if s is None else b" ".join(kept_words(text, s)[1]).decode() for text, s in zip(batch["text"], spans)]
-        yield batch
+        last = batch.num_columns - 1
+        spans, batch = batch.column(last).to_pylist(), batch.select(list(range(last)))
+        texts_ = batch.column("text").to_pylist()
+        yield with_text(batch, [t if s is None or t is None else b" ".join(kept_words(t, s)[1]).decode() for t, s in zip(texts_, spans)])
 
 
 def repeated_passages(docs: DataFrame) -> DataFrame:
@@ -251,7 +253,8 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
 
 
 def remove_repeated(docs: DataFrame) -> DataFrame:
-    """``docs`` without the repeated words; texts that lose none are unchanged, and all rows and columns stay."""
-    spans = materialize(repeated_spans(docs)).withColumnRenamed("spans", "_spans")
-    joined = join_small(docs, spans, "doc_id", "left").select(*docs.columns, "_spans")
-    return small_batches(joined).mapInPandas(_cut, docs.schema)
+    """``docs`` without the repeated words; texts that lose none, all rows and other columns stay as they are."""
+    name = unused("_spans", docs.columns)
+    spans = materialize(repeated_spans(docs)).withColumnRenamed("spans", name)
+    joined = join_small(docs, spans, "doc_id", "left").select(*docs.columns, name)
+    return small_batches(joined).mapInArrow(_cut, docs.schema)

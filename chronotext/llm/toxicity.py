@@ -15,6 +15,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from chronotext.llm.common import small_batches, texts
@@ -269,12 +270,12 @@ def score_toxicity(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of ``docs`` whose text scores below the threshold, with all their columns."""
+    """The rows of ``docs`` whose text scores below the threshold, with all their columns as they are."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: dict = {}
         for batch in batches:
-            rows = [features(t or "", model.lexicon, kept) for t in batch["text"]]
-            yield batch[np.array(model.scores(rows)) < THRESHOLD]
+            rows = [features(t or "", model.lexicon, kept) for t in batch.column("text").to_pylist()]
+            yield batch.filter(pa.array(np.array(model.scores(rows)) < THRESHOLD, pa.bool_()))
 
-    return small_batches(docs).mapInPandas(run, docs.schema)
+    return small_batches(docs).mapInArrow(run, docs.schema)
