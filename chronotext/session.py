@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import DataType
 
 BROADCAST_BYTES = 64 * 1024 * 1024
 
@@ -57,19 +58,30 @@ def fits_broadcast(df: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
 
     Runs one aggregate over ``df``, so give it a materialised frame.
     """
-    size = sum((F.coalesce(_column_bytes(field), F.lit(0)) for field in df.schema.fields), F.lit(32))
+    size = sum((F.coalesce(_bytes(F.col(f"`{field.name}`"), field.dataType), F.lit(0)) for field in df.schema.fields), F.lit(32))
     total = df.agg(F.sum(size.cast("long")).alias("bytes")).first()["bytes"]
     return (total or 0) <= limit
 
 
-def _column_bytes(field):
-    kind = field.dataType.typeName()
-    if kind == "string":
-        return F.octet_length(field.name)
-    if kind == "array":
-        element = field.dataType.elementType
-        return F.size(field.name) * (32 if element.typeName() == "struct" else 8)
-    return F.lit(8)
+def _bytes(value: Column, kind: DataType) -> Column:
+    """What a value takes: the bytes of texts and binaries, and those of everything inside maps, structs and arrays."""
+    name = kind.typeName()
+    if name in ("string", "binary"):
+        return F.octet_length(value) + 8
+    if name == "array":
+        return _total(value, kind.elementType)
+    if name == "map":
+        return _total(F.map_keys(value), kind.keyType) + _total(F.map_values(value), kind.valueType)
+    if name == "struct":
+        return sum((F.coalesce(_bytes(value[field.name], field.dataType), F.lit(0)) for field in kind.fields), F.lit(8))
+    return F.lit(16 if name == "decimal" else 8)
+
+
+def _total(values: Column, kind: DataType) -> Column:
+    if kind.typeName() in ("array", "map", "struct", "string", "binary"):
+        each = lambda total, value: total + F.coalesce(_bytes(value, kind), F.lit(0)).cast("long")
+        return F.aggregate(values, F.lit(16).cast("long"), each)
+    return F.size(values) * F.lit(16 if kind.typeName() == "decimal" else 8) + 16
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
