@@ -15,14 +15,25 @@ def measured(docs: DataFrame) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """Documents that the toxicity model does not reject; it is learned from the labels of ``folder``."""
-    return toxicity.drop_toxic(docs, toxicity.learn(docs, table(spark, folder, "labels")))
+    """Documents that the toxicity model does not reject; it is learned from the labels of ``folder``.
+
+    Rows without an id, which no result could name, are left out here. All others pass on as they are.
+    """
+    return toxicity.drop_toxic(docs.where(F.col("doc_id").isNotNull()), toxicity.learn(docs, table(spark, folder, "labels")))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """The document of the smallest id of each group of near-duplicates, and all rows without an id."""
+    """The document of the smallest id of each group of near-duplicates.
+
+    Of rows that repeat an id with the same text one stays. An id that is repeated with different texts
+    goes as a whole if one of them is a near-duplicate of a document with a smaller id.
+    """
     copies = minhash.near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct()
-    return join_small(docs, materialize(copies), "doc_id", "left_anti").select(*docs.columns)
+    repeated = materialize(docs.groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    left = join_small(docs, materialize(copies), "doc_id", "left_anti").select(*docs.columns)
+    once = join_small(left, repeated, "doc_id", "left_anti").select(*docs.columns)
+    again = join_small(left, repeated, "doc_id", "left_semi").select(*docs.columns)
+    return once.unionByName(again.dropDuplicates(["doc_id", "text"]))
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
