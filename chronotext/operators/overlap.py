@@ -8,15 +8,18 @@ from chronotext.functions.text import first_field, flatten_whitespace, slug
 from chronotext.operators.joins import semi_join
 
 
-def match_titles(pages: DataFrame, titles: DataFrame, page_id: str = "page_id", **options) -> DataFrame:
+def match_titles(
+    pages: DataFrame, titles: DataFrame, page_id: str = "page_id", body: str = "content", content: Column | None = None, **options
+) -> DataFrame:
     """Pages whose title has the slug of a listed title: (page_id, slug, title, text).
 
-    The text is put on one line after the join, so only for pages that match.
+    The text comes from ``content``, an expression on the column ``body``, and is put on one line after
+    the join, so only for pages that match.
     """
-    slugged = pages.select(page_id, slug("title").alias("slug"), "title", "content")
+    slugged = pages.select(page_id, slug("title").alias("slug"), "title", body)
     listed = titles.select(slug("title").alias("slug"))
     matched = semi_join(slugged, listed, "slug", page_id, **options)
-    return matched.select(page_id, "slug", "title", flatten_whitespace("content").alias("text"))
+    return matched.select(page_id, "slug", "title", flatten_whitespace(F.col(body) if content is None else content).alias("text"))
 
 
 def match_lines(lines: DataFrame, selection: DataFrame, line_id: str, **options) -> DataFrame:

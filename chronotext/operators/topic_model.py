@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+import uuid
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window, functions as F
 
 from chronotext.functions.text import TOPIC_STOPWORDS, is_number, word_tokens
 from chronotext.operators.joins import lookup_join
@@ -53,14 +56,25 @@ class TopicModel:
         self.vocabulary_size, self.topic_mass = sums[0], [float(s) for s in sums[1:]]
 
     def save(self, path: str) -> None:
-        settings = self.words.sparkSession.createDataFrame([(self.alpha_sum,)], "alpha_sum double")
-        self.words.write.mode("overwrite").parquet(_part(path, "words"))
-        settings.write.mode("overwrite").parquet(_part(path, "settings"))
+        """Add a version at ``path``: first its words in a folder of their own, then one row that names it.
+
+        Until that row is there, the version before is the one that is loaded.
+        """
+        spark = self.words.sparkSession
+        last = _versions(spark, path)
+        version = (last[0]["version"] if last else 0) + 1
+        folder = f"words-{version}-{uuid.uuid4().hex}"
+        self.words.write.parquet(_part(path, folder))
+        row = spark.createDataFrame([(version, folder, self.alpha_sum)], "version long, folder string, alpha_sum double")
+        row.coalesce(1).write.mode("append").parquet(_part(path, "versions"))
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> TopicModel:
-        alpha_sum = spark.read.parquet(_part(path, "settings")).first()[0]
-        return cls(spark.read.parquet(_part(path, "words")), alpha_sum)
+        """The model of the last version that was saved whole."""
+        last = _versions(spark, path)
+        if not last:
+            raise FileNotFoundError(f"no topic model at {path}")
+        return cls(spark.read.parquet(_part(path, last[0]["folder"])), last[0]["alpha_sum"])
 
     def expected(self, counted: DataFrame, thetas: DataFrame | None, doc_id: str) -> DataFrame:
         """(doc_id, idx, token, total, m0, m1, ...): each count dealt out over the topics.
@@ -165,17 +179,22 @@ def train(
 
 def load_or_train(docs: DataFrame, path: str, reset: bool = False, **options) -> TopicModel:
     """The model saved at ``path``; trained and saved when there is none or on ``reset``."""
-    if not reset and _exists(docs, path):
+    if not reset and _versions(docs.sparkSession, path):
         return TopicModel.load(docs.sparkSession, path)
     model = train(docs, **options)
     model.save(path)
     return model
 
 
-def _exists(docs: DataFrame, path: str) -> bool:
-    jvm = docs.sparkSession._jvm
-    target = jvm.org.apache.hadoop.fs.Path(f"{_part(path, 'settings')}/_SUCCESS")
-    return target.getFileSystem(docs.sparkSession._jsc.hadoopConfiguration()).exists(target)
+def _versions(spark: SparkSession, path: str) -> list[Row]:
+    """The last version saved at ``path``; none where nothing is."""
+    try:
+        rows = spark.read.schema("version long, folder string, alpha_sum double").parquet(_part(path, "versions"))
+        return rows.orderBy(F.desc("version"), F.desc("folder")).limit(1).collect()
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return []
 
 
 def date_documents(model: TopicModel, unseen: DataFrame, training: DataFrame, passes: int = 20) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -10,8 +11,8 @@ from chronotext.functions import text as tx
 from chronotext.functions.divergence import js, kl, normalize, pairwise_mean
 from chronotext.operators import gaps, nearest, overlap, topic_model, topics, words, years
 from chronotext.operators.arcs import arcs, parse_year_pairs
-from chronotext.session import materialize, spread
-from chronotext.sources import readers
+from chronotext.session import materialize, shared_folder, spread
+from chronotext.sources import readers, writers
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -202,6 +203,39 @@ def dtm_sparse_docs(spark, folder):
     return sparse.select("doc_id", "year", "n_terms", line.alias("value"))
 
 
+def vocabulary_file(spark, folder):
+    """The vocabulary, written as a lookup file and read from it."""
+    path = f"{shared_folder(spark)}/lookup-{uuid.uuid4().hex}"
+    writers.write_vocabulary(words.vocabulary(documents(spark, folder)), path)
+    return readers.read_vocabulary(spark, path)
+
+
+def article_file(spark, folder):
+    """Article lines, written as text and read and parsed from it."""
+    path = f"{shared_folder(spark)}/articles-{uuid.uuid4().hex}"
+    writers.write_lines(article_lines(spark, folder).select("value"), path, overwrite=False)
+    lines = readers.read_identified_lines(spark, path)
+    return years.parse_articles(lines, "line_id").select("slug", "title", "text")
+
+
+def year_text_file(spark, folder):
+    """Years and texts of the documents, written as a tab-separated file and read as a table by the year's first digits."""
+    path = f"{shared_folder(spark)}/years-{uuid.uuid4().hex}"
+    texts = year_texts(spark, folder).select(F.concat("year", F.lit("-01")).alias("year"), tx.flatten_whitespace("text").alias("text"))
+    writers.write_tsv(texts, path)
+    return readers.read_table(spark, path, "year", "text").select(tx.leading_year("year").alias("year"), F.sha2("text", 256).alias("text_sha256"))
+
+
+def trainer_documents(spark, folder):
+    """The lines that a topic trainer reads: one sparse document each, without its year, in order of time."""
+    docs = documents(spark, folder).withColumn("year", derived_year())
+    vocab = materialize(words.vocabulary(docs))
+    sparse = words.sparse_documents(docs, vocab, ["doc_id", "year"])
+    path = f"{shared_folder(spark)}/trainer-{uuid.uuid4().hex}"
+    writers.write_trainer_documents(sparse, path)
+    return readers.read_ordered_lines(spark, path)
+
+
 def dtm_docs_per_year(spark, folder):
     dated = table(spark, folder, "documents").select(derived_year().alias("year"))
     return words.documents_per_time(dated)
@@ -210,7 +244,9 @@ def dtm_docs_per_year(spark, folder):
 def title_overlap(spark, folder):
     listed = F.concat(F.lit("  "), head_line(), F.lit("!?"))
     titles = table(spark, folder, "documents").select(listed.alias("title"))
-    return overlap.match_titles(pages(spark, folder), titles)
+    # Markup is taken out of the pages that match only.
+    marked = table(spark, folder, "pages").select("page_id", tx.html_title("html").alias("title"), "html")
+    return overlap.match_titles(marked, titles, body="html", content=tx.html_content("html"))
 
 
 def page_articles(spark, folder):
@@ -344,7 +380,7 @@ QUERIES: dict[str, Query] = {
     for query in (
         word_count, dtm_token_counts, lda_token_counts, strict_tsv_parse, year_text_lines,
         year_range_docs, leading_years, dtm_vocabulary, dtm_lookup, dtm_sparse_docs,
-        dtm_docs_per_year, title_overlap, page_articles, corpus_overlap, page_by_id,
+        vocabulary_file, article_file, year_text_file, trainer_documents, dtm_docs_per_year, title_overlap, page_articles, corpus_overlap, page_by_id,
         first_year_groups, year_windows, kl_pairs, js_pairs, js_nearest_year,
         js_mean_by_year_gap, topic_lowest_terms, topic_top_terms, topic_term_lines,
         topic_matrix_cells, topic_type_counts, topic_listing, doc_topic_scores, year_pair_arcs, lda_topics,

@@ -76,17 +76,21 @@ def nearest_years(
     reset: bool = False,
     **options,
 ) -> DataFrame:
-    """(doc_id, title, actual_year, train_id, nearest_year, js) for the listed unseen texts."""
+    """(doc_id, title, actual_year, train_id, nearest_year, js) for the listed unseen texts.
+
+    Listed titles without a file are reported too: their ``doc_id`` and what follows from the text is NULL.
+    """
     docs = materialize(
         years.year_documents(readers.read_table(spark, texts_path, "year", "text")).withColumn(
             "doc_id", F.monotonically_increasing_id()
         )
     )
     model = topic_model.load_or_train(docs.select("doc_id", "text"), model_path, reset, **options)
-    listed, _ = readers.read_listed_texts(spark, list_path, unseen_directory)
+    listed, missing = readers.read_listed_texts(spark, list_path, unseen_directory)
     unseen = materialize(years.year_documents(listed).withColumn("doc_id", F.monotonically_increasing_id()))
     dated = topic_model.date_documents(model, unseen.drop("title"), docs)
-    return dated.join(unseen.select("doc_id", "title"), "doc_id")
+    found = dated.join(unseen.select("doc_id", "title"), "doc_id")
+    return found.unionByName(missing.select("title", F.col("year").alias("actual_year")), allowMissingColumns=True)
 
 
 def year_arcs(spark: SparkSession, pairs_path: str, out: str) -> None:

@@ -208,6 +208,19 @@ ORACLE: dict[str, str] = {
           SELECT doc_id, {YEAR} AS year, CAST(coalesce(n_terms, 0) AS INT) AS n_terms,
             concat(CAST({YEAR} AS VARCHAR), chr(9), coalesce(n_terms, 0), ' ', coalesce(terms, '')) AS value
           FROM documents LEFT JOIN packed USING (doc_id)""",
+    "vocabulary_file": _with(VOCABULARY) + " SELECT idx, token FROM vocab",
+    "article_file": _with(LINES, FIELDS) + " SELECT f[1] AS slug, f[2] AS title, f[3] AS text FROM fields WHERE len(f) = 3",
+    "year_text_file": _with(YEAR_TEXTS)
+    + f""" SELECT TRY_CAST(substr(concat(year, '-01'), 1, 4) AS INT) AS year, sha256({_flat('text')}) AS text_sha256 FROM year_texts""",
+    "trainer_documents": _with(VOCABULARY)
+    + f""", term_counts AS (
+            SELECT doc_id, idx, count(*) AS n FROM (SELECT doc_id, unnest({LETTER_TOKENS}) AS token FROM documents)
+            JOIN vocab USING (token) GROUP BY doc_id, idx),
+          packed AS (
+            SELECT doc_id, count(*) AS n_terms, string_agg(concat(idx, ':', n), ' ' ORDER BY idx) AS terms
+            FROM term_counts GROUP BY doc_id)
+          SELECT row_number() OVER (ORDER BY {YEAR}, doc_id) - 1 AS line, concat(coalesce(n_terms, 0), ' ', coalesce(terms, '')) AS value
+          FROM documents LEFT JOIN packed USING (doc_id)""",
     "dtm_docs_per_year": f"SELECT {YEAR} AS year, count(*) AS n_docs FROM documents GROUP BY 1 ORDER BY 1",
     "title_overlap": _with(PAGES)
     + f""" SELECT page_id, {_slug('title')} AS slug, title, {_flat('content')} AS text FROM web

@@ -67,7 +67,7 @@ def _bytes(value: Column, kind: DataType) -> Column:
     """What a value takes: the bytes of texts and binaries, and those of everything inside maps, structs and arrays."""
     name = kind.typeName()
     if name in ("string", "binary"):
-        return F.octet_length(value) + 8
+        return F.octet_length(value)
     if name == "array":
         return _total(value, kind.elementType)
     if name == "map":

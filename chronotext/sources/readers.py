@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from chronotext.functions.text import fields, html_content, html_title, leading_year
 from chronotext.operators.arcs import parse_year_pairs
 from chronotext.operators.topics import TIME_SLOTS
+from chronotext.operators.years import sum_before
 from chronotext.session import fits_broadcast, materialize
 
 # Name patterns of the files read.
@@ -23,12 +24,34 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_identified_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(line_id, value): lines with a unique id that grows with their place in each split.
+    """(line_id, value): lines with a unique id that grows with their place in a file.
 
-    Written once, so that the ids stay the same wherever the lines are used.
+    An id is (file, block, place): the hash of the file's path, where the split begins that holds the line, and
+    the line's place among those that its task reads. All of it is known in the scan, so nothing is
+    written, and reading the same files again with the same settings gives the same ids.
     """
-    lines = spark.read.text(path)
-    return materialize(lines.select(F.monotonically_increasing_id().alias("line_id"), "value"))
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    line = F.struct(
+        F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), place.alias("place")
+    )
+    return spark.read.text(path).select(line.alias("line_id"), "value")
+
+
+def read_ordered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(line, value): the lines of all files of a directory numbered from 0, in the order of file names and in each file.
+
+    The lines before a file are counted per file; that table has a row per file.
+    """
+    lines = materialize(
+        spark.read.text(path).select(
+            F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("split"),
+            F.monotonically_increasing_id().alias("place"), "value",
+        )
+    )
+    numbered = number_lines(lines)
+    sizes = lines.groupBy("file").agg(F.count(F.lit(1)).alias("lines")).withColumn("all", F.lit(0))
+    before = sum_before(sizes, "all", "file", "lines").select("file", F.col("_before").alias("_earlier"))
+    return numbered.join(F.broadcast(before), "file").select((F.col("line") + F.col("_earlier")).alias("line"), "value")
 
 
 def read_year_texts(spark: SparkSession, path: str) -> DataFrame:
@@ -91,9 +114,9 @@ def number_lines(lines: DataFrame, file: str = "file") -> DataFrame:
     pieces = lines.groupBy(file, "split").agg(
         F.count(F.lit(1)).alias("lines"), F.min("place").alias("first")
     )
-    before = Window.partitionBy(file).orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
-    starts = pieces.select(
-        file, "split", (F.coalesce(F.sum("lines").over(before), F.lit(0)) - F.col("first")).alias("_start")
+    # Pieces are summed up inside ranges of (file, split), so a file of very many splits spans many tasks.
+    starts = materialize(
+        sum_before(pieces, file, "split", "lines").select(file, "split", (F.col("_before") - F.col("first")).alias("_start"))
     )
     if fits_broadcast(starts):
         starts = F.broadcast(starts)

@@ -35,6 +35,15 @@ def sparse_lines(documents: DataFrame) -> DataFrame:
     )
 
 
+def write_trainer_documents(documents: DataFrame, path: str) -> None:
+    """Write ``n idx:n idx:n ...`` per document without its year, in order of year and then of id, as topic trainers want them.
+
+    The sort is distributed; the files in the order of their names are the input of the trainer.
+    """
+    ordered = documents.orderBy("year", documents.columns[0])
+    write_lines(ordered.select(sparse_line("terms").alias("value")), path)
+
+
 def write_sparse_documents(documents: DataFrame, path: str, by_year: bool = False) -> None:
     """Write sparse documents, on request in year order as topic trainers want them."""
     ordered = documents.orderBy("year", documents.columns[0]) if by_year else documents

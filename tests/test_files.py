@@ -159,7 +159,7 @@ def training_lines():
 
 def test_nearest_years_job_and_model_cache(spark, tmp_path):
     texts = put(tmp_path / "texts.tsv", training_lines() + "xxxx\tnothing\n1500\ttoo early\n")
-    listing = put(tmp_path / "list.txt", "sea\t1805\nland\t1905\nempty\t1850\n")
+    listing = put(tmp_path / "list.txt", "sea\t1805\nland\t1905\nempty\t1850\nlost\t1820\n")
     put(tmp_path / "dev" / "sea_clean.txt", "sail the ship\nbefore the wind mast mast harbour\n")
     put(tmp_path / "dev" / "land_clean.txt", "coal iron steam engine rail rail")
     put(tmp_path / "dev" / "empty_clean.txt", "zzz")
@@ -167,8 +167,9 @@ def test_nearest_years_job_and_model_cache(spark, tmp_path):
     model = str(tmp_path / "model")
     got = jobs.nearest_years(spark, texts, listing, str(tmp_path / "dev"), model, **options).collect()
     assert {r.title: (r.actual_year, r.nearest_year) for r in got} == {
-        "sea": (1805, 1800), "land": (1905, 1900), "empty": (1850, None)
+        "sea": (1805, 1800), "land": (1905, 1900), "empty": (1850, None), "lost": (1820, None)
     }
+    assert [r.title for r in got if r.doc_id is None] == ["lost"]
 
     first = known_words(topic_model.TopicModel.load(spark, model))
     docs = spark.createDataFrame([(0, "other words here")], "doc_id long, text string")
@@ -212,3 +213,45 @@ def test_number_lines_without_a_single_task_per_file(spark):
     df = spark.createDataFrame([("f", 0, 10), ("f", 0, 11), ("f", 50, 3), ("g", 0, 7)], "file string, split long, place long")
     got = readers.number_lines(df).select("file", "split", "place", F.col("line")).collect()
     assert sorted(tuple(r) for r in got) == [("f", 0, 10, 0), ("f", 0, 11, 1), ("f", 50, 3, 2), ("g", 0, 7, 0)]
+
+
+def test_line_ids_are_the_same_in_each_reading(spark, tmp_path, monkeypatch):
+    for name in "ab":
+        put(tmp_path / f"{name}.txt", "".join(f"{name} {i}\n" for i in range(500)))
+    monkeypatch.setattr(readers, "materialize", lambda df: pytest.fail("lines were written"))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "900b")
+    try:
+        first, second = (readers.read_identified_lines(spark, str(tmp_path)).collect() for _ in range(2))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert sorted(first) == sorted(second) and len({r.line_id for r in first}) == 1000
+    for name in "ab":
+        own = [r.value for r in sorted(first) if r.value.startswith(name)]
+        assert own == [f"{name} {i}" for i in range(500)]
+
+
+def test_ordered_lines_and_trainer_documents(spark, tmp_path):
+    rows = [(i, 1900 - i // 7, [(i, 1)] if i % 5 else []) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, year int, terms array<struct<idx:long,n:long>>")
+    writers.write_trainer_documents(docs.repartition(5), str(tmp_path / "out"))
+    got = sorted(tuple(r) for r in readers.read_ordered_lines(spark, str(tmp_path / "out")).collect())
+    want = [f"1 {i}:1" if i % 5 else "0 " for i, year, _ in sorted(rows, key=lambda r: (r[1], r[0]))]
+    assert got == list(enumerate(want))
+
+
+def test_a_failed_save_leaves_the_model_before(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "model")
+    docs = lambda text: spark.createDataFrame([(0, text)], "doc_id long, text string")
+    options = {"k": 2, "iterations": 1}
+    topic_model.load_or_train(docs("first words"), path, **options)
+    broken = topic_model.train(docs("second try"), **options)
+    stop = F.udf(lambda x: 1 / 0, "long")
+    broken.words = broken.words.withColumn("total", stop("total"))
+    with pytest.raises(Exception, match="ZeroDivisionError"):
+        broken.save(path)
+    assert known_words(topic_model.load_or_train(docs("x"), path, **options)) == ["first", "words"]
+    topic_model.load_or_train(docs("third model"), path, reset=True, **options)
+    assert known_words(topic_model.TopicModel.load(spark, path)) == ["model", "third"]
+    with pytest.raises(FileNotFoundError):
+        topic_model.TopicModel.load(spark, str(tmp_path / "none"))

@@ -81,7 +81,7 @@ def test_documents_per_time(spark):
     assert [tuple(r) for r in words.documents_per_time(docs).collect()] == [("1900", 1), ("1901", 2)]
 
 
-@pytest.mark.parametrize("options", [{}, {"limit": 150}, {"limit": -1, "salts": 2}])
+@pytest.mark.parametrize("options", [{}, {"limit": 150}, {"limit": -1}, {"limit": -1, "salts": 2}])
 def test_score_topics(spark, options):
     weights = materialize(
         spark.createDataFrame(
