@@ -17,7 +17,7 @@ from chronotext.session import build_session
 HEADLINE = (
     "word_count dtm_vocabulary dtm_sparse_docs lda_token_counts title_overlap corpus_overlap "
     "first_year_groups year_windows js_pairs js_nearest_year js_mean_by_year_gap "
-    "topic_lowest_terms topic_listing doc_topic_scores year_pair_arcs"
+    "topic_lowest_terms topic_listing doc_topic_scores year_pair_arcs lda_topics lda_nearest_year"
 ).split()
 
 
