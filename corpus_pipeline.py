@@ -15,18 +15,16 @@ def measured(docs: DataFrame) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """Documents that the toxicity model does not reject; it is learned from the labels of ``folder``.
-
-    Rows without an id, which no result could name, are left out here. All others pass on as they are.
-    """
-    return toxicity.drop_toxic(docs.where(F.col("doc_id").isNotNull()), toxicity.learn(docs, table(spark, folder, "labels")))
+    """Documents that the toxicity model does not reject, as they are; it is learned from the labels of ``folder``."""
+    return toxicity.drop_toxic(docs, toxicity.learn(docs, table(spark, folder, "labels")))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """The document of the smallest id of each group of near-duplicates.
 
     Of rows that repeat an id with the same text one stays. An id that is repeated with different texts
-    goes as a whole if one of them is a near-duplicate of a document with a smaller id.
+    goes as a whole if one of them is a near-duplicate of a document with a smaller id. Rows without an id
+    are compared with nothing and stay.
     """
     copies = minhash.near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct()
     repeated = materialize(docs.groupBy("doc_id").count().where("count > 1").select("doc_id"))
@@ -47,7 +45,10 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, folder: str) -> DataFra
 
 
 def pack(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """(doc_id, n_tokens, bucket, batch, slot) of every document left."""
+    """(doc_id, n_tokens, bucket, batch, slot) of every document left that has an id.
+
+    Rows without one pass the stages before by their texts and end here, as no batch could name them.
+    """
     return packing.pack(docs)
 
 
