@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
+from functools import reduce
+from operator import or_
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -90,30 +93,55 @@ def _known():
 
 KNOWN = (*_SHORT[:4], *_known())
 
-# Fixed values: (pattern, replacement) for spellings that mean the same, on canonical words.
+# Fixed values: (words without which the pattern finds nothing, pattern, replacement) for spellings that mean the
+# same, on canonical words. The last four are the holder's name, and marks or numbers of items, in licences of BSD kind.
 SPELLINGS = (
-    (r"\b(sub)?licenc(e|ed|ee|es|ing|or)\b", "{1}licens{2}"),
-    (r"\borganisation(s?)\b", "organization{1}"),
-    (r"\bnon commercial\b", "noncommercial"),
-    (r"\bv(er)? ?([0-9])", "version {2}"),
-    (r"\bgnu gpl\b", "gnu general public license"),
+    ("licenc", r"\b(sub)?licenc(e|ed|ee|es|ing|or)\b", "{1}licens{2}"),
+    ("organisation", r"\borganisation(s?)\b", "organization{1}"),
+    ("non commercial", r"\bnon commercial\b", "noncommercial"),
+    ("", r"\bv(er)? ?([0-9])", "version {2}"),
+    ("gnu gpl", r"\bgnu gpl\b", "gnu general public license"),
+    ("redistributions", r"\b[123] (redistributions (?:of|in))\b", "{1}"),
+    (
+        "neither the name",
+        r"\b(?:3 )?neither the names? of (?:[^ ]+ ){1,12}?nor the names? of (?:its|their) contributors\b",
+        "neither the name of the copyright holder nor the names of its contributors",
+    ),
+    ("contributors as is", r"\bprovided by (?:[^ ]+ ){1,6}?and contributors as is\b", "provided by the copyright holders and contributors as is"),
+    ("contributors be liable", r"\bshall (?:[^ ]+ ){1,6}?or contributors be liable\b", "shall the copyright holder or contributors be liable"),
 )
-# A copyright statement in lower case: mark, holder, year, and on to the end of the sentence or line. Initials, and
-# words such as "and" after "inc.", do not end it. The group is what follows the sentence and stays. No look-around,
-# so that SQL engines can use it.
+# What can open a copyright statement, in lower case. A sign is put before each, so that the pattern of
+# the statement sees where the next one opens and never reads a line over and over.
+MARKS = ("copyright", "(c)", "©")
+SIGN = "\x01"
+MARK = r"(copyright|\(c\)|©)"
+# A copyright statement: mark, holder, year or a place left for it, and on to the end of the sentence or line; a year
+# may be missing after "copyright (c)" or "©". Initials, and words such as "and" after "inc.", do not end it, and of
+# abbreviations and further marks at most 20 precede the year. The group is what follows the sentence and stays. No
+# look-around, so that SQL engines can use it.
 COPYRIGHT_LINE = (
-    r"(?:copyright|\(c\)|©)(?:[^\n.]*(?:[^\p{L}\p{N}\n][a-z]|inc|corp|ltd|llc|co|dr|jr)\.){0,20}?[^\n.]*?[0-9]{4}"
+    r"\x01(?:(?:copyright|\(c\)|©)"
+    r"(?:[^\n.\x01]*(?:(?:[^\p{L}\p{N}\n.][a-z](?:\.[a-z])*|inc|corp|ltd|llc|co|dr|jr)\.|\x01)){0,20}?[^\n.\x01]*?(?:[0-9]{4}|[<\[{](?:year|yyyy))"
+    r"|copyright[ \t]*\x01(?:\(c\)|©)|©)"
     r"(?:(?:[^\n]*?[\p{L}\p{N})\]>\"][\p{L}\p{N})\]>\"])??\.([ \t]+(?:[^aeoh&<(\n \t]|a[^nl\n]|an[^d\n]|al[^l\n]|all[^ \n]|all [^r\n]|e[^t\n]|o[^r\n]|h[^t\n]))"
     r"|[^\n]*(?:[^\p{L}\p{N}]*all rights reserved\.?)?)"
 )
 
 
+def _where(text: Column, needles: tuple[str, ...], change: Callable[[Column], Column]) -> Column:
+    """``change(text)`` for texts that hold one of the needles; the others are not searched by pattern."""
+    holds = lambda value: reduce(or_, [value.contains(F.lit(needle)) for needle in needles])
+    return F.transform(F.array(text), lambda value: F.when(holds(value), change(value)).otherwise(value))[0]
+
+
 def canonical(text: Column) -> Column:
-    """Lower case, no dated copyright statements, letters and digits only, one spelling for equal words."""
-    text = F.regexp_replace(F.lower(text), COPYRIGHT_LINE, "$1")
+    """Lower case, no copyright statements, letters and digits only, one spelling for equal words."""
+    signed = lambda value: F.regexp_replace(value, MARK, SIGN + "$1")
+    text = _where(F.lower(text), MARKS, lambda value: F.regexp_replace(signed(value), COPYRIGHT_LINE, "$1"))
     text = F.trim(F.regexp_replace(text, r"[^\p{L}\p{N}]+", " "))
-    for pattern, to in SPELLINGS:
-        text = F.regexp_replace(text, pattern, to.replace("{", "$").replace("}", ""))
+    for needle, pattern, to in SPELLINGS:
+        to = to.replace("{", "$").replace("}", "")
+        text = _where(text, (needle,), lambda value, pattern=pattern, to=to: F.regexp_replace(value, pattern, to))
     return text
 
 

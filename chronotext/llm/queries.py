@@ -107,9 +107,10 @@ _RULES = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
 
 def _canonical_sql(text: str) -> str:
     copyright_line = licenses.COPYRIGHT_LINE.replace("'", "''")
-    out = f"regexp_replace(lower({text}), '{copyright_line}', '\\1', 'g')"
+    out = f"regexp_replace(lower({text}), '{licenses.MARK}', chr({ord(licenses.SIGN)}) || '\\1', 'g')"
+    out = f"regexp_replace({out}, '{copyright_line}', '\\1', 'g')"
     out = f"trim(regexp_replace({out}, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
-    for pattern, to in licenses.SPELLINGS:
+    for _, pattern, to in licenses.SPELLINGS:
         to = to.replace("{", "\\").replace("}", "")
         out = f"regexp_replace({out}, '{pattern}', '{to}', 'g')"
     return f"sha256({out})"

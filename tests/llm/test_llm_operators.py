@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 
 import numpy as np
 import pytest
@@ -236,6 +237,12 @@ def test_only_copyright_statements_are_left_out(spark):
         ("x\n * Copyright 2020 Foo\ny", "x y"),
         ("the copyright notice. " + "word " * 9000 + "1999 end.", "the copyright notice " + "word " * 9000 + "1999 end"),
         ("Copyright 2020 Ann. " + "a.b. " * 9000 + "end", ("a b " * 9000 + "end")),
+        ("MIT License\n\nCopyright (c) Ann Lee\n\nPermission", "mit license permission"),
+        ("(c) <year> <holder>\nUse", "use"),
+        ("Copyright (C) [yyyy] [name of copyright owner]\nUse", "use"),
+        ("© Ann Lee. Use it.", "use it"),
+        ("(c) You must keep the copyright notice", "c you must keep the copyright notice"),
+        ("Copyright by J.R. Doe (c) 2020. Use it.", "use it"),
     ]
     docs = documents(spark, [(i, text) for i, (text, _) in enumerate(cases)])
     got = dict(docs.select("doc_id", licenses.canonical(F.col("text"))).collect())
@@ -245,6 +252,36 @@ def test_only_copyright_statements_are_left_out(spark):
     assert {r["doc_id"]: r["license"] for r in found} == {0: "Apache-2.0", 1: "MIT"}
 
 
+def test_long_lines_of_marks_take_time_in_proportion(spark):
+    unit = "(c) a.b.c.d. x (c) y "
+    docs = documents(spark, [(1, unit * 50_000), (2, "copyright " * 100_000), (3, "(c) " + "a." * 500_000), (4, "copyright inc. " * 70_000)])
+    start = time.perf_counter()
+    got = dict(docs.select("doc_id", F.length(licenses.canonical(F.col("text")))).collect())
+    assert time.perf_counter() - start < 30
+    assert got == {1: len("c a b c d x c y ") * 50_000 - 1, 2: 999_999, 3: 2 + 1_000_000 - 1, 4: len("copyright inc ") * 70_000 - 1}
+
+
+def test_holders_and_items_of_bsd_licences(spark):
+    bsd = licenses._BODIES["BSD-3-Clause"]
+    named = bsd.replace("the copyright holder nor", "Foo Labs, Inc. nor").replace("1. ", "* ").replace("2. ", "* ").replace("3. ", "* ")
+    named = named.replace("BY THE COPYRIGHT HOLDERS AND", "BY THE REGENTS AND").replace("THE COPYRIGHT HOLDER OR", "THE REGENTS OR")
+    docs = documents(spark, [(1, "BSD 3-Clause License\n\nCopyright (c) Foo Labs, Inc.\n\n" + named), (2, named.replace("DAMAGE", "LOSS"))])
+    found = dict(licenses.scan_licenses(docs, licenses.known_digests(spark)).select("doc_id", "license").collect())
+    assert found == {1: "BSD-3-Clause", 2: None}
+
+
+def test_digests_of_canonical_texts(spark):
+    """Digests of canonical texts written by hand, apart from the patterns of the module."""
+    cases = {
+        "Copyright 2020 Ann.\nLICENCED under  the Apache License, v2!": "licensed under the apache license version 2",
+        "Neither the name of Foo nor the names of its contributors": "neither the name of the copyright holder nor the names of its contributors",
+        "": "",
+    }
+    docs = documents(spark, list(enumerate(cases)))
+    got = dict(docs.select("doc_id", licenses.digest(F.col("text"))).collect())
+    assert got == {i: hashlib.sha256(want.encode()).hexdigest() for i, want in enumerate(cases.values())}
+
+
 def test_whole_licences_with_and_without_title(spark):
     mit = next(b for name, b in licenses.KNOWN if name == "MIT" and b.startswith("Permission"))
     bsd = licenses._BODIES["BSD-3-Clause"]
