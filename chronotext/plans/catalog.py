@@ -12,13 +12,14 @@ from chronotext.functions.divergence import js, kl, normalize, pairwise_mean
 from chronotext.operators import gaps, nearest, overlap, topic_model, topics, words, years
 from chronotext.operators.arcs import arcs, parse_year_pairs
 from chronotext.session import materialize, shared_folder, spread
-from chronotext.sources import readers, writers
+from chronotext.sources import archive, readers, writers
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
 # Small enough that years of the given tables fill several parts.
 YEAR_PART_CHARS = 8192
+ARCHIVE_BLOCK = 64
 # Few enough iterations that their SQL can be written out.
 MODEL_TOPICS = 10
 MODEL_ITERATIONS = 3
@@ -264,6 +265,27 @@ def page_by_id(spark, folder):
     return readers.html_pages(overlap.page_by_id(table(spark, folder, "pages"), 7))
 
 
+def written_archive(spark: SparkSession, folder: str) -> str:
+    """An archive of all pages, of files small enough that the given tables fill several."""
+    path = f"{shared_folder(spark)}/archive-{uuid.uuid4().hex}"
+    archive.write_archive(table(spark, folder, "pages"), path, ARCHIVE_BLOCK)
+    return path
+
+
+def page_archive(spark, folder):
+    """Numbers, titles and texts of all pages, through an archive."""
+    stored = archive.read_archive(spark, written_archive(spark, folder))
+    return stored.select("number", "page_id", tx.html_title("html").alias("title"), tx.html_content("html").alias("content"))
+
+
+def page_by_number(spark, folder):
+    return readers.html_pages(archive.page_at(spark, written_archive(spark, folder), 7))
+
+
+def archived_page(spark, folder):
+    return readers.html_pages(archive.archived_page(spark, written_archive(spark, folder), 7))
+
+
 def first_year_groups(spark, folder):
     return years.concat_by_year(articles(spark, folder), part_chars=YEAR_PART_CHARS)
 
@@ -380,7 +402,7 @@ QUERIES: dict[str, Query] = {
     for query in (
         word_count, dtm_token_counts, lda_token_counts, strict_tsv_parse, year_text_lines,
         year_range_docs, leading_years, dtm_vocabulary, dtm_lookup, dtm_sparse_docs,
-        vocabulary_file, article_file, year_text_file, trainer_documents, dtm_docs_per_year, title_overlap, page_articles, corpus_overlap, page_by_id,
+        vocabulary_file, article_file, year_text_file, trainer_documents, dtm_docs_per_year, title_overlap, page_articles, corpus_overlap, page_by_id, page_archive, page_by_number, archived_page,
         first_year_groups, year_windows, kl_pairs, js_pairs, js_nearest_year,
         js_mean_by_year_gap, topic_lowest_terms, topic_top_terms, topic_term_lines,
         topic_matrix_cells, topic_type_counts, topic_listing, doc_topic_scores, year_pair_arcs, lda_topics,

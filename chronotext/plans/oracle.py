@@ -231,6 +231,9 @@ ORACLE: dict[str, str] = {
     + f""" SELECT doc_id, value FROM fields
            WHERE f[1] IN (SELECT split_part(concat({_slug('title')}, chr(9), title), chr(9), 1) FROM web)""",
     "page_by_id": _with(PAGES) + " SELECT page_id, title, content FROM web WHERE page_id = 7",
+    "page_archive": _with(PAGES) + " SELECT row_number() OVER (ORDER BY page_id) - 1 AS number, page_id, title, content FROM web",
+    "page_by_number": _with(PAGES) + " SELECT page_id, title, content FROM web ORDER BY page_id LIMIT 1 OFFSET 7",
+    "archived_page": _with(PAGES) + " SELECT page_id, title, content FROM web WHERE page_id = 7",
     "first_year_groups": _with(ARTICLES)
     + r""", dated AS (
             SELECT doc_id, text, list_filter(regexp_extract_all(text, '[\p{L}\p{Nd}_]+'),
