@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Row, SparkSession, Window, functions as F
@@ -19,9 +20,13 @@ ALPHA_SUM = 1.0
 LISTED_WORDS = 19
 # What each word has in each topic before any count.
 BETA = 0.01
+# The row that names a saved version. A version of before priors were learned has none.
+VERSION = "version long, folder string, alpha_sum double, prior array<double>"
 # Start values repeat after this many words; the step spreads neighbours.
 START_PERIOD = 10007
 START_STEP = 7919
+# A document whose topic shares all move by no more in a pass is left as it is then.
+TOLERANCE = 1e-4
 # Decimals to which topic shares are compared, so that equal documents tie whatever the order of sums.
 THETA_DECIMALS = 6
 
@@ -45,15 +50,17 @@ class TopicModel:
     """All words of the training texts as a table (idx, token, total, mass).
 
     ``mass`` is the expected number of occurrences in each topic. Only its sums per topic, one
-    number each, are ever on the driver.
+    number each, are ever on the driver. ``prior`` is what each topic has in a document before any
+    count; the parts add up to ``alpha_sum`` and are equal until they are learned.
     """
 
-    def __init__(self, words: DataFrame, alpha_sum: float = ALPHA_SUM):
+    def __init__(self, words: DataFrame, alpha_sum: float = ALPHA_SUM, prior: list[float] | None = None):
         self.words = words
         self.alpha_sum = alpha_sum
         self.k = words.select(F.size("mass")).head(1)[0][0] if words.head(1) else 0
         sums = words.agg(F.count(F.lit(1)), *[F.sum(F.col("mass")[i]) for i in range(self.k)]).first()
         self.vocabulary_size, self.topic_mass = sums[0], [float(s) for s in sums[1:]]
+        self.prior = list(prior) if prior else [alpha_sum / self.k] * self.k
 
     def save(self, path: str) -> None:
         """Add a version at ``path``: first its words in a folder of their own, then one row that names it.
@@ -65,7 +72,7 @@ class TopicModel:
         version = (last[0]["version"] if last else 0) + 1
         folder = f"words-{version}-{uuid.uuid4().hex}"
         self.words.write.parquet(_part(path, folder))
-        row = spark.createDataFrame([(version, folder, self.alpha_sum)], "version long, folder string, alpha_sum double")
+        row = spark.createDataFrame([(version, folder, self.alpha_sum, self.prior)], VERSION)
         row.coalesce(1).write.mode("append").parquet(_part(path, "versions"))
 
     @classmethod
@@ -74,7 +81,7 @@ class TopicModel:
         last = _versions(spark, path)
         if not last:
             raise FileNotFoundError(f"no topic model at {path}")
-        return cls(spark.read.parquet(_part(path, last[0]["folder"])), last[0]["alpha_sum"])
+        return cls(spark.read.parquet(_part(path, last[0]["folder"])), last[0]["alpha_sum"], last[0]["prior"])
 
     def expected(self, counted: DataFrame, thetas: DataFrame | None, doc_id: str) -> DataFrame:
         """(doc_id, idx, token, total, m0, m1, ...): each count dealt out over the topics.
@@ -107,44 +114,74 @@ class TopicModel:
         """(doc_id, theta), written to the shared folder."""
         sums = expected.groupBy(doc_id).agg(*self._sums())
         tokens = sum((F.col(f"m{i}") for i in range(1, self.k)), F.col("m0"))
-        shares = [(F.col(f"m{i}") + self.alpha_sum / self.k) / (tokens + self.alpha_sum) for i in range(self.k)]
+        shares = [(F.col(f"m{i}") + self.prior[i]) / (tokens + self.alpha_sum) for i in range(self.k)]
         return materialize(sums.select(doc_id, F.array(*shares).alias("theta")))
 
-    def improved(self, expected: DataFrame) -> TopicModel:
+    def learned_prior(self, shares: DataFrame) -> list[float]:
+        """The prior divided as the topics' mean shares of the documents are.
+
+        Repeated in each iteration this comes to rest where the prior is the mean of the shares that it
+        leads to. Its sum stays, so short documents are drawn to common topics as strongly as before.
+        """
+        means = shares.agg(*[F.avg(F.col("theta")[i]) for i in range(self.k)]).first()
+        return self.prior if means[0] is None else [self.alpha_sum * mean for mean in means]
+
+    def improved(self, expected: DataFrame, prior: list[float]) -> TopicModel:
         """The model with the word masses that ``expected`` adds up to."""
         sums = expected.groupBy("idx", "token", "total").agg(*self._sums())
         mass = F.array(*[F.col(f"m{i}") for i in range(self.k)]).alias("mass")
-        return TopicModel(materialize(sums.select("idx", "token", "total", mass)), self.alpha_sum)
+        return TopicModel(materialize(sums.select("idx", "token", "total", mass)), self.alpha_sum, prior)
 
     def _sums(self) -> list[Column]:
         return [F.sum(f"m{i}").alias(f"m{i}") for i in range(self.k)]
 
-    def thetas(self, docs: DataFrame, doc_id: str = "doc_id", passes: int = 20) -> DataFrame:
+    def thetas(self, docs: DataFrame, doc_id: str = "doc_id", passes: int = 20, tolerance: float = TOLERANCE) -> DataFrame:
         """The documents without their text but with their topic shares; the words stay as trained.
 
         Tokens unseen in training are ignored. A document without any known token gets the zero
-        vector. Every pass reads all counts and writes one row per document.
+        vector. After each pass the documents none of whose shares moved by more than ``tolerance``
+        keep the new ones; only the others go on, until none or no pass is left. Their counts are
+        written anew whenever half of the documents have come to rest, so a pass costs about what
+        the documents still moving do.
         """
         zero = F.array_repeat(F.lit(0.0), self.k)
         if not self.k:
             return docs.drop("text").withColumn("theta", zero)
         counted = materialize(document_words(docs, doc_id))
-        shares = None
+        shares, rested, before = None, [], None
         for _ in range(passes):
-            shares = self.document_shares(self.expected(counted, shares, doc_id), doc_id)
-        return docs.drop("text").join(shares, doc_id, "left").withColumn("theta", F.coalesce("theta", zero))
+            new = self.document_shares(self.expected(counted, shares, doc_id), doc_id)
+            if shares is None:
+                shares, before = new, new.count()
+                continue
+            steps = F.zip_with("theta", "_last", lambda now, last: F.abs(now - last))
+            compared = materialize(
+                new.join(shares.withColumnRenamed("theta", "_last"), doc_id).select(
+                    doc_id, "theta", (F.array_max(steps) > tolerance).alias("_moves")
+                )
+            )
+            rested.append(compared.where("NOT _moves").select(doc_id, "theta"))
+            shares = compared.where("_moves").select(doc_id, "theta")
+            moving = shares.count()
+            if not moving:
+                break
+            if 2 * moving <= before:
+                counted, before = materialize(counted.join(shares.select(doc_id), doc_id, "left_semi")), moving
+        every = reduce(DataFrame.unionByName, rested, shares) if shares is not None else None
+        if every is None:
+            return docs.drop("text").withColumn("theta", zero)
+        return docs.drop("text").join(every, doc_id, "left").withColumn("theta", F.coalesce("theta", zero))
 
     def listing(self, words: int = LISTED_WORDS) -> DataFrame:
         """(topic, weight, words): the prior's part for each topic and the topic's top words.
 
-        The prior is divided as the occurrences are. Equal masses go by token.
+        Equal masses go by token.
         """
         masses = self.words.select("token", F.posexplode("mass").alias("topic", "mass"))
         # So short a limit is applied in the scan tasks, before the topics meet.
         order = Window.partitionBy("topic").orderBy(F.desc(F.round("mass", 6)), "token")
         top = masses.withColumn("place", F.row_number().over(order)).where(F.col("place") <= words)
-        whole = sum(self.topic_mass) or 1.0
-        weights = F.array(*[F.lit(self.alpha_sum * mass / whole) for mass in self.topic_mass])
+        weights = F.array(*[F.lit(part) for part in self.prior])
         return top.groupBy("topic").agg(
             F.array_join(F.sort_array(F.collect_list(F.struct("place", "token")))["token"], " ").alias("words")
         ).select("topic", F.get(weights, F.col("topic")).alias("weight"), "words")
@@ -171,9 +208,11 @@ def train(
         return model
     for last in range(iterations):
         expected = model.expected(counted, shares, doc_id)
+        prior = model.prior
         if last < iterations - 1:
             shares = model.document_shares(expected, doc_id)
-        model = model.improved(expected)
+            prior = model.learned_prior(shares)
+        model = model.improved(expected, prior)
     return model
 
 
@@ -189,7 +228,7 @@ def load_or_train(docs: DataFrame, path: str, reset: bool = False, **options) ->
 def _versions(spark: SparkSession, path: str) -> list[Row]:
     """The last version saved at ``path``; none where nothing is."""
     try:
-        rows = spark.read.schema("version long, folder string, alpha_sum double").parquet(_part(path, "versions"))
+        rows = spark.read.schema(VERSION).parquet(_part(path, "versions"))
         return rows.orderBy(F.desc("version"), F.desc("folder")).limit(1).collect()
     except AnalysisException as missing:
         if missing.getCondition() != "PATH_NOT_FOUND":

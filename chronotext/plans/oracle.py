@@ -140,17 +140,22 @@ def _topic_shares(name: str, mass: str) -> str:
   FROM {mass})"""
 
 
-def _topic_round(prefix: str, words_: str, shares: str, n: int) -> list[str]:
-    """Round ``n``, from 1, of a set of documents: the dealt counts and then the topics of its documents."""
+def _topic_round(prefix: str, words_: str, shares: str, n: int, prior: str, rest: bool = False) -> list[str]:
+    """Round ``n``, from 1, of a set of documents: the dealt counts and then the topics of its documents.
+
+    With ``rest`` only the documents go on that moved in the round before.
+    """
     theta = "" if n == 1 else f"JOIN {prefix}_theta{n - 1} USING (doc_id, k)"
+    if rest and n > 2:
+        theta += f" JOIN {prefix}_moving{n - 1} USING (doc_id)"
     p = "share" if n == 1 else "share * theta"
     return [
         f"""{prefix}_dealt{n} AS MATERIALIZED (
   SELECT doc_id, token, k, n * p / sum(p) OVER (PARTITION BY doc_id, token) AS m
   FROM (SELECT doc_id, token, k, n, {p} AS p FROM {words_} JOIN {shares} USING (token) {theta}))""",
         f"""{prefix}_theta{n} AS MATERIALIZED (
-  SELECT doc_id, k, (sum(m) + 1.0 / {TOPIC_COUNT}) / (sum(sum(m)) OVER (PARTITION BY doc_id) + 1.0) AS theta
-  FROM {prefix}_dealt{n} GROUP BY doc_id, k)""",
+  SELECT doc_id, k, (sum(m) + any_value(alpha)) / (sum(sum(m)) OVER (PARTITION BY doc_id) + 1.0) AS theta
+  FROM {prefix}_dealt{n} JOIN {prior} USING (k) GROUP BY doc_id, k)""",
     ]
 
 
@@ -164,9 +169,11 @@ def _topic_model(source: str) -> list[str]:
         f"""mass0 AS MATERIALIZED (
   SELECT token, k, n * (0.1::DOUBLE + ((idx % 10007 + 1) * (2 * k + 1) * 7919 % 10007)::DOUBLE / 10007) AS mass
   FROM ranked, range({TOPIC_COUNT}) topics(k))""",
+        f"prior0 AS MATERIALIZED (SELECT k, 1.0::DOUBLE / {TOPIC_COUNT} AS alpha FROM range({TOPIC_COUNT}) topics(k))",
     ]
     for n in range(1, ROUNDS + 1):
-        parts += [_topic_shares(f"share{n}", f"mass{n - 1}"), *_topic_round("fit", "words_", f"share{n}", n)]
+        parts += [_topic_shares(f"share{n}", f"mass{n - 1}"), *_topic_round("fit", "words_", f"share{n}", n, f"prior{n - 1}")]
+        parts.append(f"prior{n} AS MATERIALIZED (SELECT k, avg(theta) AS alpha FROM fit_theta{n} GROUP BY k)")
         parts.append(f"mass{n} AS MATERIALIZED (SELECT token, k, sum(m) AS mass FROM fit_dealt{n} GROUP BY token, k)")
     return parts
 
@@ -175,10 +182,18 @@ def _topic_thetas(prefix: str, source: str) -> list[str]:
     """(id, year, theta) of documents whose words the model knows, as ``prefix``."""
     parts = [_topic_words(f"{prefix}_words", source)]
     for n in range(1, ROUNDS + 1):
-        parts += _topic_round(prefix, f"{prefix}_words", "share", n)
+        parts += _topic_round(prefix, f"{prefix}_words", "share", n, f"prior{ROUNDS - 1}", rest=True)
+        if n > 1:
+            parts.append(f"""{prefix}_moving{n} AS MATERIALIZED (
+  SELECT doc_id FROM {prefix}_theta{n} a JOIN {prefix}_theta{n - 1} b USING (doc_id, k)
+  GROUP BY doc_id HAVING max(abs(a.theta - b.theta)) > 1e-4)""")
+    # A document has the shares of its last round.
+    last = " UNION ALL ".join(
+        f"SELECT * FROM {prefix}_theta{n}" + (f" ANTI JOIN {prefix}_theta{n + 1} USING (doc_id)" if n < ROUNDS else "") for n in range(1, ROUNDS + 1)
+    )
     parts.append(f"""{prefix} AS MATERIALIZED (
   SELECT doc_id AS id, any_value(year) AS year, list(round(theta, 6) ORDER BY k) AS theta
-  FROM {prefix}_theta{ROUNDS} JOIN {source} USING (doc_id) GROUP BY doc_id)""")
+  FROM ({last}) JOIN {source} USING (doc_id) GROUP BY doc_id)""")
     return parts
 
 
@@ -324,7 +339,7 @@ ORACLE: dict[str, str] = {
     "lda_topics": _with(*_topic_model("documents"))
     + f""", listed AS (
             SELECT token, k, row_number() OVER (PARTITION BY k ORDER BY round(mass, 6) DESC, token) AS place FROM mass{ROUNDS}),
-          weights AS (SELECT k, sum(mass) / sum(sum(mass)) OVER () AS weight FROM mass{ROUNDS} GROUP BY k)
+          weights AS (SELECT k, alpha AS weight FROM prior{ROUNDS - 1})
           SELECT CAST(k AS INT) AS topic, round(any_value(weight), 6) AS weight, string_agg(token, ' ' ORDER BY place) AS words
           FROM listed JOIN weights USING (k) WHERE place <= 19 GROUP BY k""",
     "lda_nearest_year": _with(

@@ -197,6 +197,47 @@ def test_topic_model_shapes(spark):
     assert all(r.weight > 0 for r in listing) and sum(r.weight for r in listing) == pytest.approx(1.0)
 
 
+def test_topics_have_unequal_priors_that_are_saved(spark, tmp_path):
+    docs = spark.createDataFrame([(i, "sea ship wave" if i % 10 else "corn field plough") for i in range(60)], "doc_id long, text string")
+    model = topic_model.train(docs, k=2, alpha_sum=0.5, iterations=8)
+    assert sum(model.prior) == pytest.approx(0.5) and max(model.prior) > 1.3 * min(model.prior)
+    folded = model.thetas(docs, passes=3)
+    shares = [r.theta for r in folded.collect()]
+    assert model.learned_prior(folded) == pytest.approx([0.5 * sum(column) / len(shares) for column in zip(*shares)])
+    assert model.learned_prior(folded.limit(0)) == model.prior
+    model.save(str(tmp_path / "model"))
+    again = topic_model.TopicModel.load(spark, str(tmp_path / "model"))
+    assert again.prior == model.prior and again.listing().count() == 2
+    old = spark.read.parquet(str(tmp_path / "model" / "versions")).drop("prior").withColumn("version", F.lit(2).cast("long"))
+    old.write.mode("append").parquet(str(tmp_path / "model" / "versions"))
+    assert topic_model.TopicModel.load(spark, str(tmp_path / "model")).prior == [0.25, 0.25]
+
+
+def test_folding_in_goes_on_with_moving_documents_only(spark, monkeypatch):
+    words = "sea ship wave corn field plough king queen crown".split()
+    texts = [" ".join(words[(i * j) % 9] for j in range(1, 3 + i % 40)) for i in range(80)] + ["unknown"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    model = topic_model.train(docs.where("doc_id < 80"), k=3, iterations=4)
+    work = []
+    expected = topic_model.TopicModel.expected
+
+    def counting(self, counted, thetas, doc_id):
+        work.append((counted.count(), None if thetas is None else thetas.count()))
+        return expected(self, counted, thetas, doc_id)
+
+    monkeypatch.setattr(topic_model.TopicModel, "expected", counting)
+    got = {r.doc_id: r.theta for r in model.thetas(docs, passes=10, tolerance=1e-2).collect()}
+    moving = [n for _, n in work[1:]]
+    assert moving == sorted(moving, reverse=True) and moving[-1] < moving[0] and work[-1][0] < work[0][0]
+    del work[:]
+    whole = {r.doc_id: r.theta for r in model.thetas(docs, passes=10, tolerance=-1.0).collect()}
+    assert {n for _, n in work[1:]} == {80} and got.keys() == whole.keys()
+    assert got[80] == whole[80] == [0.0] * 3
+    assert all(got[i] == pytest.approx(whole[i], abs=0.1) and sum(got[i]) == pytest.approx(1.0) for i in range(80))
+    assert {tuple(r.theta) for r in model.thetas(docs, passes=0).collect()} == {(0.0, 0.0, 0.0)}
+    assert model.thetas(docs.limit(0)).collect() == []
+
+
 def test_topic_model_without_words(spark):
     docs = spark.createDataFrame([(0, "1850")], "doc_id long, text string")
     model = topic_model.train(docs, k=3, iterations=2)
