@@ -60,7 +60,7 @@ class TopicModel:
         self.k = words.select(F.size("mass")).head(1)[0][0] if words.head(1) else 0
         sums = words.agg(F.count(F.lit(1)), *[F.sum(F.col("mass")[i]) for i in range(self.k)]).first()
         self.vocabulary_size, self.topic_mass = sums[0], [float(s) for s in sums[1:]]
-        self.prior = list(prior) if prior else [alpha_sum / self.k] * self.k
+        self.prior = list(prior) if prior else [alpha_sum / max(self.k, 1)] * self.k
 
     def save(self, path: str) -> None:
         """Add a version at ``path``: first its words in a folder of their own, then one row that names it.
