@@ -257,7 +257,8 @@ def test_long_lines_of_marks_take_time_in_proportion(spark):
     docs = documents(spark, [(1, unit * 50_000), (2, "copyright " * 100_000), (3, "(c) " + "a." * 500_000), (4, "copyright inc. " * 70_000)])
     start = time.perf_counter()
     got = dict(docs.select("doc_id", F.length(licenses.canonical(F.col("text")))).collect())
-    assert time.perf_counter() - start < 30
+    # Four texts of about 1 MB; a pattern that reads a line once for each mark takes hours.
+    assert time.perf_counter() - start < 120
     assert got == {1: len("c a b c d x c y ") * 50_000 - 1, 2: 999_999, 3: 2 + 1_000_000 - 1, 4: len("copyright inc ") * 70_000 - 1}
 
 
