@@ -1,10 +1,12 @@
 """Exact nearest document by Jensen-Shannon divergence, without comparing all pairs.
 
-The square root of the divergence is a metric, so distances to a few fixed pivots bound the
-distance between any two documents. Training documents are grouped by nearest pivot and by how
-far they lie from it. A query needs only the groups whose bound is within the distance to the
-nearest document of a sample. Groups are cut into blocks and queries into chunks of limited size,
-and each (chunk, block) row is one matrix computation.
+Two bounds spare most of the work. The square root of the divergence is a metric, so distances to
+a few fixed pivots bound the distance between any two documents: training documents are grouped by
+nearest pivot and by how far they lie from it, and each query visits only the groups whose bound is
+within its distance to the nearest document of a sample. And the divergence is at most the squared
+Hellinger distance and at least ln 2 times it, in each component and so in sum. That distance is one
+matrix product for a block of documents and those queries of a chunk that need it; the logarithms
+are worked out only for pairs that can still be nearest.
 """
 
 from __future__ import annotations
@@ -32,7 +34,9 @@ BLOCK_ROWS = 1024
 CHUNK_ROWS = 256
 GROWTH = 8
 CHUNKS_PER_COPY = 4
+PAIRS_AT_ONCE = 100_000
 SLACK = 1e-6
+TIE_SLACK = 1e-9
 
 
 def divergences(p: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -64,14 +68,37 @@ def _matrix(thetas: pd.Series) -> np.ndarray:
     return np.array(thetas.to_list(), dtype=float)
 
 
-def _best_in_block(query_ids, queries, train_ids, years, train) -> list[dict]:
-    """Nearest training row of each query; near ties are settled by the plain formula, then id."""
+def hellinger(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Squared Hellinger distance of every row of ``p`` with every row of ``q``."""
+    squares = (p.sum(axis=1)[:, None] + q.sum(axis=1)[None, :]) / 2 - np.sqrt(p) @ np.sqrt(q).T
+    return np.maximum(squares, 0.0)
+
+
+def _pair_divergences(p: np.ndarray, row: np.ndarray, q: np.ndarray, column: np.ndarray) -> np.ndarray:
+    """Divergence of the named pairs of rows, a limited number of pairs at a time."""
+    parts = [slice(i, i + PAIRS_AT_ONCE) for i in range(0, len(row), PAIRS_AT_ONCE)]
+    return np.concatenate([np.empty(0), *(divergences(p[row[part]], q[column[part]]) for part in parts)])
+
+
+def nearest_bound(queries: np.ndarray, train: np.ndarray) -> np.ndarray:
+    """A divergence that the nearest row of ``train`` does not exceed: that of the Hellinger-nearest one."""
+    return divergences(queries, train[hellinger(queries, train).argmin(axis=1)])
+
+
+def possible_pairs(queries: np.ndarray, train: np.ndarray, limit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(query row, training row) of all pairs whose divergence may be the query's least and within its ``limit``."""
+    apart = hellinger(queries, train)
+    limit = np.minimum(limit, divergences(queries, train[apart.argmin(axis=1)]))
+    return np.nonzero(np.log(2) * apart <= limit[:, None] + TIE_SLACK)
+
+
+def _best_in_block(query_ids, queries, limits, train_ids, years, train) -> list[dict]:
+    """Nearest training row of each query that has one within its limit; ties go to the lowest id."""
     best = []
     for start in range(0, len(queries), 256):
         part = queries[start : start + 256]
-        rough = all_divergences(part, train)
-        row, column = np.nonzero(rough <= rough.min(axis=1, keepdims=True) + 1e-9)
-        exact = divergences(part[row], train[column])
+        row, column = possible_pairs(part, train, limits[start : start + 256])
+        exact = _pair_divergences(part, row, train, column)
         order = np.lexsort((train_ids[column], exact, row))
         _, first = np.unique(row[order], return_index=True)
         best += [
@@ -144,17 +171,22 @@ def nearest_document(queries: DataFrame, training: DataFrame) -> DataFrame:
     area, cell = areas["area"].to_numpy(), areas["cell"].to_numpy()
     low, high = areas["low"].to_numpy(), areas["high"].to_numpy()
 
-    @F.pandas_udf("array<int>")
-    def reach(chunks: pd.Series) -> pd.Series:
-        def needed(cells: np.ndarray) -> list[int]:
-            distance = np.sqrt(all_divergences(cells.reshape(-1, width), sample))
-            nearest = distance.min(axis=1, keepdims=True)
-            home = distance[:, :n_pivots].min(axis=1, keepdims=True)
+    @F.pandas_udf("limits array<double>, visits array<struct<area:int,rows:array<int>>>")
+    def reach(chunks: pd.Series) -> pd.DataFrame:
+        """How far each query of a chunk must look, and the areas to visit with the queries that need them."""
+
+        def needed(cells: np.ndarray) -> dict:
+            queries = cells.reshape(-1, width)
+            limits = nearest_bound(queries, sample)
+            distance = np.sqrt(all_divergences(queries, pivots))
+            home = distance.min(axis=1, keepdims=True)
             to_cell = distance[:, cell]
             bound = np.maximum.reduce([to_cell - high, low - to_cell, (to_cell - home) / 2])
-            return area[(bound <= nearest + SLACK).any(axis=0)].tolist()
+            need = bound <= np.sqrt(limits)[:, None] + SLACK
+            wanted = np.flatnonzero(need.any(axis=0))
+            return {"limits": limits, "visits": [{"area": area[i], "rows": np.flatnonzero(need[:, i])} for i in wanted]}
 
-        return pd.Series([needed(cells) for cells in chunks])
+        return pd.DataFrame([needed(cells) for cells in chunks], columns=["limits", "visits"])
 
     asked = materialize(
         queries.select("id", "theta", place("theta").alias("at")).select("id", "theta", "at.cell")
@@ -171,11 +203,12 @@ def nearest_document(queries: DataFrame, training: DataFrame) -> DataFrame:
             F.col("q.id").alias("query_ids"),
             F.flatten("q.theta").alias("query_cells"),
         )
-        .withColumn("areas", reach("query_cells"))
+        .withColumn("reach", reach("query_cells"))
+        .select("chunk", "query_ids", "query_cells", "reach.*")
     )
     # An area wanted by many chunks is copied, so that no task gets all of them.
     wanted = (
-        chunks.select(F.explode("areas").alias("area"))
+        chunks.select(F.explode("visits.area").alias("area"))
         .groupBy("area")
         .agg(F.ceil(F.count(F.lit(1)) / CHUNKS_PER_COPY).alias("copies"))
         .toPandas()
@@ -200,15 +233,18 @@ def nearest_document(queries: DataFrame, training: DataFrame) -> DataFrame:
             F.flatten("t.theta").alias("train_cells"),
         )
     )
+    # Only the queries that need an area are sent to it.
+    theta = lambda i: F.slice("query_cells", i * width + 1, F.lit(width))
     visits = (
-        chunks.withColumn("area", F.explode("areas"))
+        chunks.select("chunk", "query_ids", "query_cells", "limits", F.inline("visits"))
         .join(layout, "area")
         .select(
             "area",
             F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("block"),
             F.pmod(F.xxhash64("chunk"), F.col("copies")).alias("copy"),
-            "query_ids",
-            "query_cells",
+            F.transform("rows", lambda i: F.col("query_ids")[i]).alias("query_ids"),
+            F.flatten(F.transform("rows", theta)).alias("query_cells"),
+            F.transform("rows", lambda i: F.col("limits")[i]).alias("limits"),
         )
     )
     found_type = "array<struct<id:bigint,js:double,train_id:bigint,year:int>>"
@@ -218,8 +254,8 @@ def nearest_document(queries: DataFrame, training: DataFrame) -> DataFrame:
         for batch in batches:
             yield pd.Series(
                 [
-                    _best_in_block(q_ids, q.reshape(-1, width), t_ids, years, t.reshape(-1, width))
-                    for q_ids, q, t_ids, years, t in zip(*batch)
+                    _best_in_block(q_ids, q.reshape(-1, width), limits, t_ids, years, t.reshape(-1, width))
+                    for q_ids, q, limits, t_ids, years, t in zip(*batch)
                 ]
             )
 
@@ -229,7 +265,7 @@ def nearest_document(queries: DataFrame, training: DataFrame) -> DataFrame:
     return (
         visits.repartition(tasks, *place_of)
         .join(blocks.repartition(tasks, *place_of), place_of)
-        .select(F.inline(compare("query_ids", "query_cells", "train_ids", "years", "train_cells")))
+        .select(F.inline(compare("query_ids", "query_cells", "limits", "train_ids", "years", "train_cells")))
         .groupBy("id")
         .agg(best)
         .select("id", "best.js", "best.train_id", "best.year")

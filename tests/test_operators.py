@@ -6,6 +6,7 @@ import re
 from collections import Counter
 from itertools import combinations
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -280,6 +281,33 @@ def test_nearest_document_with_hot_copies(spark, monkeypatch):
     check_nearest(spark, queries, training)
 
 
+def test_the_divergence_lies_between_the_bounds_of_the_hellinger_distance():
+    rng = np.random.default_rng(3)
+    p, q = rng.random((200, 6)) ** 4, rng.random((300, 6)) ** 4
+    p[rng.random(p.shape) < 0.3] = 0
+    q[rng.random(q.shape) < 0.3] = 0
+    js, apart = nearest.all_divergences(p, q), nearest.hellinger(p, q)
+    assert (js <= apart + 1e-12).all() and (js >= np.log(2) * apart - 1e-12).all()
+
+
+def test_few_pairs_need_their_divergence_and_the_share_falls():
+    rng = np.random.default_rng(4)
+    queries, train = rng.dirichlet(np.ones(26), 200), rng.dirichlet(np.ones(26), 8000)
+    shares = []
+    for n in (500, 2000, 8000):
+        row, column = nearest.possible_pairs(queries, train[:n], np.full(len(queries), np.inf))
+        js = nearest.all_divergences(queries, train[:n])
+        assert set(zip(range(len(queries)), js.argmin(axis=1))) <= set(zip(row, column))
+        shares.append(len(row) / js.size)
+    assert shares[0] < 0.2 and shares[0] > shares[1] > shares[2]
+
+
+def test_nearest_document_of_texts_almost_alike(spark, monkeypatch):
+    monkeypatch.setattr(nearest, "PAIRS_AT_ONCE", 7)
+    training = [(i, 1800, [0.5 + i * 1e-13, 0.5 - i * 1e-13]) for i in range(40)]
+    check_nearest(spark, [(0, [0.5, 0.5]), (1, [0.5 + 1e-12, 0.5 - 1e-12])], training)
+
+
 def test_nearest_document_ties_and_zero_vectors(spark):
     training = [(7, 1807, [0.5, 0.5]), (3, 1803, [0.5, 0.5]), (1, 1801, [0.0, 0.0])]
     queries = spark.createDataFrame([(0, [0.6, 0.4]), (1, [0.0, 0.0])], "id long, theta array<double>")
