@@ -2,15 +2,27 @@
 
 from __future__ import annotations
 
+import sys
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window, functions as F
 
 from chronotext.functions.divergence import js
 
+# The functions below travel with the tasks, so that executors need not have this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # The year gaps reported.
 YEAR_GAPS = [0, 1, 2, 5, 10, 25, 50]
 PAIRS_PER_GAP = 1000
 # A key is cut in this many parts before its rows meet in one task.
 KEY_PARTS = 256
+# Rows that a scan task waits for before it cuts, and most rows that it keeps between cuts.
+CUT_ROWS = 100_000
+KEPT_ROWS = 1_000_000
 
 
 def first_pairs(docs: DataFrame, gaps: list[int] = YEAR_GAPS, first: int = PAIRS_PER_GAP) -> DataFrame:
@@ -19,8 +31,9 @@ def first_pairs(docs: DataFrame, gaps: list[int] = YEAR_GAPS, first: int = PAIRS
     The result is exact, though not all pairs are formed. Every document that opens a pair opens
     at least one before the next opener, so only the first ``first`` openers of a gap matter. And
     a partner is among the first ``2 * first`` documents of its year: each document of that year
-    before i pairs with i, so fewer than ``first`` precede it. Both cuts are made within hashed
-    parts of a year or gap before the rest meets, so one task never gets a whole hot year.
+    before i pairs with i, so fewer than ``first`` precede it. Both cuts are made in the scan task and
+    then within hashed parts of a year or gap before the rest meets, so one task never gets a whole
+    hot year and few ids move.
     """
     ids = docs.select("id", "year")
     last = ids.groupBy("year").agg(F.max("id").alias("last"))
@@ -57,8 +70,48 @@ def first_pairs(docs: DataFrame, gaps: list[int] = YEAR_GAPS, first: int = PAIRS
     )
 
 
+def _smallest(rows: pa.Table, key: str, first: int) -> pa.Table:
+    """The rows of the ``first`` smallest ids of each key."""
+    rows = rows.sort_by([(key, "ascending"), ("id", "ascending")])
+    if not rows.num_rows:
+        return rows
+    keys = rows[key].combine_chunks().dictionary_encode().indices.to_numpy()
+    starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    lengths = np.diff(np.append(starts, len(keys)))
+    return rows.filter(pa.array(np.arange(len(keys)) - np.repeat(starts, lengths) < first))
+
+
+def _cut_in_task(key: str, first: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept, waiting, size = None, [], 0
+        for batch in batches:
+            waiting.append(batch)
+            size += batch.num_rows
+            if size < CUT_ROWS:
+                continue
+            table = pa.Table.from_batches(waiting)
+            kept = _smallest(table if kept is None else pa.concat_tables([kept, table]), key, first)
+            waiting, size = [], 0
+            if kept.num_rows > KEPT_ROWS:  # many keys: hand on what there is, and begin anew
+                yield from kept.to_batches()
+                kept = None
+        if waiting:
+            table = pa.Table.from_batches(waiting)
+            kept = _smallest(table if kept is None else pa.concat_tables([kept, table]), key, first)
+        if kept is not None:
+            yield from kept.to_batches()
+
+    return run
+
+
 def first_by_id(df: DataFrame, key: str, first: int) -> DataFrame:
-    """The rows of the ``first`` smallest ids of each key, cut within hashed parts of the key first."""
+    """The rows of the ``first`` smallest ids of each key; rows without a key or an id are left out.
+
+    Each scan task keeps its own first rows of a key, so ids beyond them cross no exchange; the rest
+    is cut within hashed parts of the key and then within the key.
+    """
+    df = df.where(F.col(key).isNotNull() & F.col("id").isNotNull())
+    df = df.mapInArrow(_cut_in_task(key, first), df.schema)
     part = F.pmod(F.xxhash64("id"), F.lit(KEY_PARTS)).alias("_part")
     for keys in ([key, part], [key]):
         place = F.row_number().over(Window.partitionBy(*keys).orderBy("id"))

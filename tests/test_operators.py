@@ -7,6 +7,7 @@ from collections import Counter
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -342,6 +343,34 @@ def test_first_pairs_are_exact(spark, first, spread_):
     assert found == gap_model(docs, first)
 
 
+@pytest.mark.parametrize("cut, most", [(1, 0), (7, 20), (100_000, 1_000_000)])
+def test_a_scan_task_keeps_the_smallest_ids_of_each_key(cut, most, monkeypatch):
+    monkeypatch.setattr(gaps, "CUT_ROWS", cut)
+    monkeypatch.setattr(gaps, "KEPT_ROWS", most)
+    rng = random.Random(cut)
+    rows = [(rng.randrange(5), 2**53 + i) for i in rng.sample(range(400), 120)]
+    batches = [
+        pa.RecordBatch.from_pydict({"year": [y for y, _ in rows[i : i + 10]], "id": [j for _, j in rows[i : i + 10]]})
+        for i in range(0, len(rows), 10)
+    ]
+    kept = [(r["year"], r["id"]) for b in gaps._cut_in_task("year", 3)(iter(batches)) for r in b.to_pylist()]
+    want = {(y, i) for y in range(5) for i in sorted(i for z, i in rows if z == y)[:3]}
+    assert want <= set(kept) and len(kept) == len(set(kept)) and set(kept) <= set(rows)
+    if most > 20:
+        assert set(kept) == want
+    assert list(gaps._cut_in_task("year", 3)(iter([]))) == []
+
+
+def test_first_rows_are_cut_before_any_exchange(spark, capsys):
+    docs = spark.createDataFrame([(i, 1800 if i % 3 else None) for i in range(5000)], "id long, year int")
+    cut = gaps.first_by_id(docs, "year", 2000)
+    assert sorted(r.id for r in cut.collect()) == [i for i in range(5000) if i % 3][:2000]
+    cut.explain("simple")
+    plan = capsys.readouterr().out
+    # A plan prints its last step first.
+    assert plan.rindex("MapInArrow") > plan.rindex("Exchange")
+
+
 def test_mean_by_year_gap(spark):
     docs = [(0, 1800, [0.5, 0.5]), (1, 1800, [0.9, 0.1]), (2, 1802, [0.5, 0.5])]
     got = {r.d: (r.pairs, r.mean_js) for r in gaps.mean_by_year_gap(spark.createDataFrame(docs, THETAS)).collect()}
