@@ -117,28 +117,40 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+def _linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets reach ``percent`` of their union."""
+    place = np.searchsorted(b, a)
+    shared = int((b[np.minimum(place, len(b) - 1)] == a).sum())
+    return 100 * shared >= percent * (len(a) + len(b) - shared)
+
+
 def _compare(percent: int):
     def run(group: pa.Table) -> pa.Table:
-        """Pairs (a, b) of a list's members (side 0: apart from its hub, side 1: all) that may be linked.
+        """Links (a, b) between a list's members (left: apart from its hub, right: all) that join their components.
 
-        Skipped are members of one component, sizes too different, and pairs that a list of a smaller
-        token they share gives already.
+        Skipped are members of one component, also of one that links found here have made, sizes too
+        different, and pairs that a list of a smaller token they share gives already. Sketches choose
+        the pairs whose full sets are compared. So a group gives fewer rows than it has members.
         """
         ids, parts, sizes = (group[c].to_numpy() for c in ("id", "part", "n_shingles"))
-        side, apart = group["side"].to_numpy(), group["apart"].to_numpy(zero_copy_only=False)
+        is_left, is_right, apart = (group[c].to_numpy(zero_copy_only=False) for c in ("is_left", "is_right", "apart"))
         sketch = np.frombuffer(b"".join(group["sketch"].to_pylist()), np.uint8).reshape(-1, SKETCH)
-        token, prefixes = group["token"][0].as_py(), group["prefix"]
-        right, least = np.flatnonzero(side == 1), least_matches(SKETCH, percent)
+        token, prefixes, least = group["token"][0].as_py(), group["prefix"].to_pylist(), least_matches(SKETCH, percent)
+        sets, right = group["shingles"], np.flatnonzero(is_right)
+        part = np.unique(parts, return_inverse=True)[1]
         found_a, found_b = [], []
-        for x in np.flatnonzero(side == 0):
+        for x in np.flatnonzero(is_left):
             small, large = np.minimum(sizes[x], sizes[right]), np.maximum(sizes[x], sizes[right])
-            y = right[(parts[right] != parts[x]) & (100 * small >= percent * large) & ~(apart[right] & (ids[right] <= ids[x]))]
+            y = right[(part[right] != part[x]) & (100 * small >= percent * large) & ~(apart[right] & (ids[right] <= ids[x]))]
             y = y[(sketch[y] == sketch[x]).sum(1) >= least]
-            if len(y):
-                own = prefixes[int(x)].as_py()
-                y = [i for i in y if min(set(own).intersection(prefixes[int(i)].as_py())) == token]
-                found_a += [ids[x]] * len(y)
-                found_b += ids[y].tolist()
+            own = set(prefixes[x]) if len(y) else None
+            mine = np.frombuffer(sets[int(x)].as_buffer(), np.uint64) if len(y) else None
+            for i in y:
+                if part[i] != part[x] and min(own.intersection(prefixes[i])) == token:
+                    if _linked(mine, np.frombuffer(sets[int(i)].as_buffer(), np.uint64), percent):
+                        part[part == part[i]] = part[x]
+                        found_a.append(ids[x])
+                        found_b.append(ids[i])
         a, b = np.array(found_a, np.int64), np.array(found_b, np.int64)
         return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
@@ -148,12 +160,8 @@ def _compare(percent: int):
 def _confirm(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for left, right in zip(batch.column(2), batch.column(3)):
-                a, b = (np.frombuffer(x.as_buffer(), np.uint64) for x in (left, right))
-                place = np.searchsorted(b, a)
-                shared = int((b[np.minimum(place, len(b) - 1)] == a).sum())
-                keep.append(100 * shared >= percent * (len(a) + len(b) - shared))
+            sets = zip(batch.column(2), batch.column(3))
+            keep = [_linked(*(np.frombuffer(x.as_buffer(), np.uint64) for x in both), percent) for both in sets]
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     return run
@@ -175,9 +183,10 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
        kept if enough coordinates collide, then confirmed on the full sets.
     4. Classes that are now connected need not be compared with each other. Of each list, those
        that are not connected with its hub are compared with all members of other components, in
-       blocks of bounded size, by a longer sketch; the few pairs that reach its threshold are confirmed.
+       blocks of bounded size, by a longer sketch; the pairs that reach its threshold are confirmed there
+       on the full sets, and a link makes one component of two, whose members are not compared any more.
 
-    Lists of copies thus give one pair per member, and only likely pairs are ever written as rows.
+    Lists of copies thus give one pair per member, and a block gives fewer links than it has members.
 
     Null, empty and wordless texts have 0 shingles, their own component, and no link. Repeated rows
     give one row each; rows of one id with different texts are judged each by its own text. Rows with a null id are left out; other columns are not read.
@@ -212,15 +221,15 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     split = joined.groupBy("token").agg(hub.alias("hub"), F.count(F.lit(1)).alias("n"), F.min("part").alias("low"), F.max("part").alias("high"))
     blocks = F.ceil(F.col("n") / LIST_ROWS).cast("int")
     split = materialize(split.where(F.col("low") < F.col("high")).select("token", F.col("hub.id").alias("hub"), F.col("hub.part").alias("hub_part"), blocks.alias("blocks")))
-    facts = first.select("id", "n_shingles").join(prefixes, "id").join(sets.select("id", "sketch"), "id")
+    facts = prefixes.join(first.select("id", "n_shingles"), "id").join(sets, "id")
     open_ = joined.join(split, "token").where(F.col("id") != F.col("hub")).withColumn("apart", F.col("part") != F.col("hub_part"))
     own, every = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     columns = ["token", "id", "part", "apart"]
-    left = open_.where("apart").select(*columns, F.lit(0).alias("side"), own.alias("i"), every.alias("j"))
-    right = open_.select(*columns, F.lit(1).alias("side"), own.alias("j"), every.alias("i"))
+    # A member is a row of its own block once, whichever sides it is on, and of the other blocks of its row and column.
+    right = open_.select(*columns, own.alias("j"), every.alias("i")).select(*columns, "i", "j", (F.col("apart") & (F.col("i") == F.col("j"))).alias("is_left"), F.lit(True).alias("is_right"))
+    left = open_.where("apart").select(*columns, own.alias("i"), every.alias("j")).where("i != j").select(*columns, "i", "j", F.lit(True).alias("is_left"), F.lit(False).alias("is_right"))
     dealt = left.unionByName(right).join(facts, "id")
-    rest = dealt.groupBy("token", "i", "j").applyInArrow(_compare(percent), "a long, b long").distinct()
-    more = materialize(_confirmed(rest, sets, percent))
+    more = materialize(dealt.groupBy("token", "i", "j").applyInArrow(_compare(percent), "a long, b long").distinct())
     roots = connected_components(links.unionByName(more).select(F.col("a").alias("u"), F.col("b").alias("v")))
     classes = materialize(classes.join(roots, F.col("id") == F.col("node"), "left").select(*key, "least", F.coalesce("component", "id").alias("part")))
     lows = classes.groupBy("part").agg(F.min("least").alias("component"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")

@@ -5,6 +5,7 @@ import random
 import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -86,6 +87,23 @@ def test_minhash_lists_apart_from_hub(spark, monkeypatch):
     assert got == minhash_model(rows) and 1 < len({r[2] for r in got}) < len(got)
 
 
+def test_minhash_rows_of_a_list_grow_with_its_members_not_with_their_pairs():
+    rng, n = np.random.default_rng(3), 60
+    common = rng.integers(0, 2**63, 200, dtype=np.uint64)
+    # Near copies, apart from the hub and from each other, and as many that are like none.
+    sets = [np.unique(np.concatenate([common, rng.integers(0, 2**63, 10, dtype=np.uint64)])) for _ in range(n)]
+    sets += [np.unique(rng.integers(0, 2**63, 210, dtype=np.uint64)) for _ in range(n)]
+    bounds = np.cumsum([0, *map(len, sets)])
+    sketch = minhash.signatures(np.concatenate(sets), bounds, minhash.SKETCH, np.uint8)
+    ids = np.arange(2 * n)
+    group = pa.table({
+        "token": np.full(2 * n, 7), "id": ids, "part": ids, "apart": ids > 0, "is_left": ids > 0, "is_right": np.ones(2 * n, bool),
+        "n_shingles": [len(s) for s in sets], "prefix": [[7]] * (2 * n), "sketch": [s.tobytes() for s in sketch], "shingles": [s.tobytes() for s in sets],
+    })
+    links = minhash._compare(75)(group)
+    assert links.num_rows == n - 1 and set(links["a"].to_pylist() + links["b"].to_pylist()) == set(range(n))
+
+
 def test_minhash_of_nothing(spark):
     assert minhash.near_duplicates(documents(spark, [])).count() == 0
     repeated = minhash.near_duplicates(documents(spark, [(5, "a b"), (5, "a b"), (6, None)])).collect()
