@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from chronotext.functions.text import sparse_line
 from chronotext.operators.words import vocabulary_lines
+from chronotext.session import materialize
 
 
 def write_lines(lines: DataFrame, path: str, overwrite: bool = True) -> None:
@@ -40,8 +41,10 @@ def write_trainer_documents(documents: DataFrame, path: str) -> None:
 
     The sort is distributed; the files in the order of their names are the input of the trainer.
     """
-    ordered = documents.orderBy("year", documents.columns[0])
-    write_lines(ordered.select(sparse_line("terms").alias("value")), path)
+    key = documents.columns[0]
+    # Written before the sort, which reads its input twice, once to find the ranges.
+    lines = materialize(documents.select("year", key, sparse_line("terms").alias("value")))
+    write_lines(lines.orderBy("year", key).select("value"), path)
 
 
 def write_sparse_documents(documents: DataFrame, path: str, by_year: bool = False) -> None:
