@@ -309,6 +309,22 @@ def test_nearest_document_of_texts_almost_alike(spark, monkeypatch):
     check_nearest(spark, [(0, [0.5, 0.5]), (1, [0.5 + 1e-12, 0.5 - 1e-12])], training)
 
 
+def test_nearest_document_sends_a_query_once_to_each_group(spark, monkeypatch):
+    """However many areas the documents fill, a query goes to a bounded number of groups."""
+    monkeypatch.setattr(nearest, "BLOCK_ROWS", 8)
+    monkeypatch.setattr(nearest, "PIVOTS", 20)
+    monkeypatch.setattr(nearest, "GROUPS", 3)
+    frames, write = [], nearest.materialize
+    monkeypatch.setattr(nearest, "materialize", lambda df: frames.append(write(df)) or frames[-1])
+    rng = random.Random(9)
+    training = [(i, 1700 + i % 200, t) for i, t in enumerate(random_thetas(rng, 300))]
+    check_nearest(spark, list(enumerate(random_thetas(rng, 50))), training)
+    asked = next(df for df in frames if "groups" in df.columns)
+    assert max(len(r["groups"]) for r in asked.collect()) <= 3
+    areas = next(df for df in frames if "area" in df.columns)
+    assert areas.select("area").distinct().count() > 3
+
+
 def test_nearest_document_ties_and_zero_vectors(spark):
     training = [(7, 1807, [0.5, 0.5]), (3, 1803, [0.5, 0.5]), (1, 1801, [0.0, 0.0])]
     queries = spark.createDataFrame([(0, [0.6, 0.4]), (1, [0.0, 0.0])], "id long, theta array<double>")
