@@ -292,3 +292,68 @@ def test_slots_of_ranges_travel_as_steps():
     one = np.ones(len(slot), np.int64)
     cells = pa.table({"slot": (slot % mixing.SLOTS).astype(np.int32), "one": one, "zero": one})
     assert sum(map(len, mixing._by_order(slot, one, one))) < 0.75 * len(mixing.pack(cells))
+
+
+def plainly_expected(rows):
+    """For each text, by place of a token, the word expected: all contexts of the training texts, looked up one by one."""
+    texts = [words_of(t) for _, t, _ in rows]
+    where = {}
+    for i, (words, (_, _, held)) in enumerate(zip(texts, rows)):
+        for p in range(mixing.CONTEXT, len(words)):
+            if not held:
+                where.setdefault(tuple(words[p - mixing.CONTEXT : p]), (i, p))
+    for i, words in enumerate(texts):
+        out = {}
+        for p in range(mixing.CONTEXT, len(words)):
+            row, at = where.get(tuple(words[p - mixing.CONTEXT : p]), (i, p))
+            if (row, at) != (i, p):
+                out = {q: word for q, word in out.items() if q < p}
+                out |= {p + j: word for j, word in enumerate(texts[row][at : at + mixing.EXPECTED]) if p + j < len(words)}
+        yield out
+
+
+@pytest.mark.parametrize("parts, asked", [(1, 1 << 22), (5, 40)])
+def test_every_context_of_the_training_texts_counts(spark, monkeypatch, parts, asked):
+    """Only contexts whose number was a multiple of 16 were looked up, so most passages of six to twenty words were never expected."""
+    monkeypatch.setattr(mixing, "BLOCK_BYTES", 1500)
+    monkeypatch.setattr(mixing, "COMPARED_ROWS", 100)
+    monkeypatch.setattr(mixing, "ASKED_ROWS", asked)
+    rng = random.Random(11)
+    lines = [" ".join(f"w{rng.randrange(500)}" for _ in range(rng.randint(4, 30))) for _ in range(60)]
+    texts = [". ".join(rng.choices(lines, k=rng.randint(0, 3)) + [f"w{rng.randrange(9)}" for _ in range(rng.randint(0, 6))]) for _ in range(150)]
+    texts += ["", "a b c d e", "a b c d e f", "a b c d e g h", "x x x x x x x x x x", "x x x x x x x"]
+    rows = [(i, t, held_out(i)) for i, t in enumerate(texts)]
+    blocks = mixing.block_table(spark.createDataFrame(rows, "doc_id long, text string, held_out boolean").coalesce(1))
+    assert blocks.count() > 5
+    told = mixing.expectations(blocks, mixing.block_asks(blocks, mixing.written(mixing.word_table(blocks, parts)), parts)).toPandas()
+    want = dict(zip(range(len(rows)), plainly_expected(rows)))
+    n_expected = 0
+    for row in blocks.collect():
+        table = mixing.unpack(bytes(row["packed"]))
+        word, _, first, vocabulary, _ = mixing.tokens(table["text"].combine_chunks().cast(pa.large_string()))
+        numbers, names = mixing._numbers(vocabulary), [v.decode() for v in vocabulary.to_pylist()]
+        by_number = {n: name for n, name in zip(numbers.astype(np.int32), names)}
+        own = told[told["block"] == row["block"]]
+        expected, there = mixing.expected_words(numbers[word], pa.table({c: pa.array([bytes(x) for x in own[c]], pa.binary()) for c in ("places", "next")}))
+        for i, low, high in zip(table["doc_id"].to_pylist(), first, first[1:]):
+            assert sorted(np.flatnonzero(there[low:high])) == sorted(want[i])
+            n_expected += len(want[i])
+            for p, name in want[i].items():
+                # A word that the block does not have is one that does not come.
+                assert by_number.get(expected[low + p], "") == (name if name in names else "")
+    assert n_expected > 1000
+
+
+def test_numbers_are_squeezed_and_come_back():
+    rng = np.random.default_rng(2)
+    for n in (0, 1, 1000):
+        columns = [np.zeros(n, np.int64), rng.integers(0, 2**62, n), rng.integers(0, 300, n)]
+        for got, column in zip(mixing.unsqueeze(mixing.squeeze(*columns), 3), columns):
+            assert np.array_equal(got, column)
+
+
+def test_what_was_shuffled_to_write_a_table_goes_with_the_write(spark):
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    assert mixing.written(spark.range(100).repartition(3)).count() == 100
+    assert spark.conf.get(name, None) == before
