@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from chronotext.functions import text as tx
-from chronotext.operators import gaps, nearest, overlap, topics, words, years
+from chronotext.operators import blocks, gaps, nearest, overlap, topics, words, years
 from chronotext.operators.arcs import arcs, parse_year_pairs
 from chronotext.session import fits_broadcast, materialize
 
@@ -325,6 +325,56 @@ def test_nearest_document_sends_a_query_once_to_each_group(spark, monkeypatch):
     assert areas.select("area").distinct().count() > 3
 
 
+def test_a_query_meets_only_the_leaves_it_can_reach(monkeypatch):
+    """Every query met every document of its areas; now it meets those of leaves within its limit, and the result stays exact."""
+    monkeypatch.setattr(nearest, "LEAF_ROWS", 16)
+    monkeypatch.setattr(nearest, "CHUNK_ROWS", 8)
+    monkeypatch.setattr(nearest, "BLOCK_ROWS", 32)
+    rng = np.random.default_rng(5)
+    middles = rng.dirichlet(np.ones(12), 30)
+    near = lambda n: np.stack([rng.dirichlet(middles[i % 30] * 3000 + 1e-3) for i in range(n)])
+    train, queries = near(3000), near(200)
+    train[7], train[11], queries[3] = train[5], train[5], train[5]  # ties
+    boxes, plain = [], nearest._to_boxes
+    monkeypatch.setattr(nearest, "_to_boxes", lambda q, low, high: boxes.append(len(q) * len(low)) or plain(q, low, high))
+    limit = nearest.nearest_bound(queries, train[:300])
+    ids = rng.permutation(3000)
+    got = nearest.search_group(
+        pa.table({"id": range(200), "theta": queries.tolist(), "limit": limit}), pa.table({"id": ids, "year": np.arange(3000, dtype=np.int32), "theta": train.tolist()})
+    ).to_pylist()
+    js = nearest.all_divergences(queries, train)
+    assert [r["id"] for r in got] == list(range(200))
+    for r in got:
+        assert r["js"] == pytest.approx(js[r["id"]].min(), abs=1e-11) and js[r["id"], r["year"]] == pytest.approx(r["js"], abs=1e-11) and ids[r["year"]] == r["train_id"]
+    assert got[3]["train_id"] == min(ids[[5, 7, 11]]) and got[3]["js"] == 0
+    assert sum(boxes) < 0.3 * 200 * 3000 / 16
+
+
+def test_boxes_are_no_farther_than_what_they_hold():
+    rng = np.random.default_rng(6)
+    train, queries = rng.random((500, 5)).astype(np.float32), rng.random((60, 5)).astype(np.float32) * 2
+    leaves, order = nearest._leaves(train, queries)
+    assert sorted(np.concatenate(leaves)) == list(range(500)) and sorted(order) == list(range(60)) and max(map(len, leaves)) <= nearest.LEAF_ROWS
+    to_box = nearest._to_boxes(queries, np.stack([train[r].min(axis=0) for r in leaves]), np.stack([train[r].max(axis=0) for r in leaves]))
+    for i, rows in enumerate(leaves):
+        assert (to_box[:, i] <= ((queries[:, None] - train[rows]) ** 2).sum(axis=2).min(axis=1) + 1e-6).all()
+
+
+def test_initials_are_counted_without_a_row_for_each_word(spark):
+    """A row for each word was made and counted; the letters that tokens begin with are counted in each text."""
+    rng = random.Random(12)
+    rows = [(i, "".join(rng.choices(["a", "b", "z", "'", "''", " ", "É", "A", "İ", "K", "3", "\n"], k=rng.randrange(12)))) for i in range(400)]
+    rows += [(3, "'tis don't 'em"), (None, "x y"), (None, "y"), (900, None), (901, ""), (902, "'" * 4), (903, "'"), (904, "'a"), (905, "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    initial = F.left(F.col("token"), F.lit(1))
+    want = docs.select("doc_id", F.explode(tx.letter_tokens("text")).alias("token")).groupBy("doc_id", initial.alias("c")).count().collect()
+    sums = Counter()
+    for r in blocks.initial_counts(docs, "doc_id", "text").collect():
+        assert sum(r["counts"]) > 0
+        sums.update({(r["id"], c): n for c, n in zip("abcdefghijklmnopqrstuvwxyz", r["counts"]) if n})
+    assert sums == {(r["doc_id"], r["c"]): r["count"] for r in want} and (3, "d") in sums and (None, "y") in sums
+
+
 def test_nearest_document_ties_and_zero_vectors(spark):
     training = [(7, 1807, [0.5, 0.5]), (3, 1803, [0.5, 0.5]), (1, 1801, [0.0, 0.0])]
     queries = spark.createDataFrame([(0, [0.6, 0.4]), (1, [0.0, 0.0])], "id long, theta array<double>")
