@@ -4,7 +4,7 @@ import pytest
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
-from chronotext.operators import topic_model
+from chronotext.operators import blocks, topic_model
 from chronotext.plans import jobs
 from chronotext.sources import readers, writers
 
@@ -238,6 +238,29 @@ def test_folding_in_goes_on_with_moving_documents_only(spark, monkeypatch):
     assert model.thetas(docs.limit(0)).collect() == []
 
 
+def test_words_are_looked_up_once_for_all_passes(spark, monkeypatch):
+    """Each pass joined the words of all blocks with the model anew, and documents that had just been counted were counted again."""
+    monkeypatch.setattr(blocks, "PACKED_WORDS", 4)
+    words = "sea ship wave corn field plough king queen crown".split()
+    docs = spark.createDataFrame([(i, " ".join(words[(i * j) % 9] for j in range(1, 3 + i % 40))) for i in range(80)], "doc_id long, text string")
+    model = topic_model.train(docs, k=3, iterations=3)
+    looked_up, counted = topic_model.TopicModel.looked_up, topic_model.document_words
+    calls = []
+    monkeypatch.setattr(topic_model.TopicModel, "looked_up", lambda self, c: calls.append("looked up") or looked_up(self, c))
+    monkeypatch.setattr(topic_model, "document_words", lambda *a, **b: calls.append("counted") or counted(*a, **b))
+    anew = {r.doc_id: r.theta for r in model.thetas(docs, passes=4, tolerance=-1.0).collect()}
+    assert calls == ["counted", "looked up"]
+    again = {r.doc_id: r.theta for r in model.thetas(docs, passes=4, tolerance=-1.0, counted=model.counted).collect()}
+    assert calls == ["counted", "looked up", "looked up"]
+    assert anew.keys() == again.keys() and all(again[i] == pytest.approx(anew[i], abs=1e-12) for i in anew)
+    # Without the packed lookups, pass by pass.
+    plain, shares = topic_model.document_words(docs, with_words=False), None
+    for _ in range(4):
+        shares = model.document_shares(model.expected(plain, shares, "doc_id"), "doc_id")
+    for r in shares.collect():
+        assert anew[r.doc_id] == pytest.approx(r.theta, abs=1e-12)
+
+
 def test_topic_model_without_words(spark):
     docs = spark.createDataFrame([(0, "1850")], "doc_id long, text string")
     model = topic_model.train(docs, k=3, iterations=2)
